@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import knn, split
-from thicket.session import table
+from thicket.llm import knn, mix, pack, split, tokens
+from thicket.session import cut, table
 
 
 def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
@@ -56,8 +56,43 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pair.distinct()
 
 
+def capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    return {k: v[0] for k, v in limits(spark, d).items() if k.startswith("pack_")}
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Container and position of every document for each pack_* capacity."""
+    sized = cut(tokens.with_tokens(table(spark, d, "documents"), ["doc_id"], "text"))
+    packed = pack.pack_documents(sized, "doc_id", "tokens", capacities(spark, d))
+    return packed.select("purpose", "container", "position", F.col("doc_key").cast("long").alias("doc_id"), "piece", "first_token", "tokens")
+
+
+def p6_utilisation(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, by capacity."""
+    packed = p6_packed(spark, d).withColumnRenamed("doc_id", "doc_key")
+    return pack.utilisation(packed, capacities(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = cut(tokens.with_tokens(table(spark, d, "documents"), ["doc_id", "source", "lang"], "text"))
+    return mix.mix(sized, table(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture with their epoch and tokens used."""
+    return _mixed(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share and repeats of each source."""
+    return _mixed(spark, d)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours}
+    return {
+        "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+        "p6_packed": p6_packed, "p6_utilisation": p6_utilisation, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
