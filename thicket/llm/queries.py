@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import knn, mix, pack, split, tokens
+from thicket.llm import knn, layout, mix, pack, split, tokens
 from thicket.session import cut, table
 
 
@@ -56,6 +56,25 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pair.distinct()
 
 
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Kind of every indexed path; null where it was written by hand."""
+    return layout.classify(table(spark, d, "indexed_files"), table(spark, d, "file_contents"), table(spark, d, "upstream_files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The paths not written by hand."""
+    return p5_kinds(spark, d).where(F.col("kind").isNotNull()).select("path")
+
+
+def p5_remaining(spark: SparkSession, d: str) -> DataFrame:
+    """By project: files, files of each kind, and the files that remain."""
+    kinds = p5_kinds(spark, d)
+    count = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    return kinds.groupBy("project_code").agg(
+        F.count("*").alias("files"), *[count(k) for k in ("generated", "minified", "vendored", "blob")], F.count_if(F.col("kind").isNull()).alias("remaining")
+    )
+
+
 def capacities(spark: SparkSession, d: str) -> dict[str, int]:
     return {k: v[0] for k, v in limits(spark, d).items() if k.startswith("pack_")}
 
@@ -91,6 +110,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+        "p5_found": p5_found, "p5_kinds": p5_kinds, "p5_remaining": p5_remaining,
         "p6_packed": p6_packed, "p6_utilisation": p6_utilisation, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     }
 
