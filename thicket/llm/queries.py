@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import knn, layout, mix, pack, split, tokens
+from thicket.llm import knn, layout, mix, pack, split, tokens, toxicity
 from thicket.session import cut, table
 
 
@@ -107,11 +107,28 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    documents = table(spark, d, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, d, "moderation_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents at or above the threshold."""
+    return p8_scores(spark, d).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per source."""
+    return toxicity.rates(p8_scores(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
         "p5_found": p5_found, "p5_kinds": p5_kinds, "p5_remaining": p5_remaining,
         "p6_packed": p6_packed, "p6_utilisation": p6_utilisation, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+        "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores,
     }
 
 
