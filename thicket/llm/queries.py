@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import knn, layout, mix, pack, split, tokens, toxicity
+from thicket.llm import knn, layout, mix, pack, secrets, split, tokens, toxicity
 from thicket.session import cut, table
 
 
@@ -16,6 +16,16 @@ def limits(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
     return {r["purpose"]: (r["limit_tokens"], r["overlap_tokens"] or 0) for r in table(spark, d, "size_limits").collect()}
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Line of each secret in each chunk; a repeated id counts once."""
+    return secrets.find_secrets(table(spark, d, "chunks")).select("id", "line_no").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with its secrets masked."""
+    return secrets.find_secrets(table(spark, d, "chunks"), copy=True).dropDuplicates(["id"])
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk in pieces within chunk_window, renumbered and recounted; a repeated id is kept once."""
     limit, overlap = limits(spark, d)["chunk_window"]
@@ -125,7 +135,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+        "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
         "p5_found": p5_found, "p5_kinds": p5_kinds, "p5_remaining": p5_remaining,
         "p6_packed": p6_packed, "p6_utilisation": p6_utilisation, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores,
