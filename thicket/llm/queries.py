@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import knn, layout, mix, pack, secrets, split, tokens, toxicity
+from thicket.llm import knn, layout, mix, pack, secrets, split, syntax, tokens, toxicity
 from thicket.session import cut, table
 
 
@@ -42,6 +42,28 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where(F.col("part_count") > 1).select("id").distinct()
 
 
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every judged file with its edit cost and the cause of its errors."""
+    return syntax.judge_files(table(spark, d, "file_contents"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The files whose newest content does not parse."""
+    return syntax.judge_files(table(spark, d, "file_contents"), costs=False).where("broken").select("path")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per project and language, over the files indexed for a project."""
+    files = table(spark, d, "indexed_files").groupBy("path").agg(
+        F.max_by("project_code", F.struct(F.coalesce("last_seen_ms", F.lit(-1)), F.coalesce("project_code", F.lit("")))).alias("project_code")
+    )
+    judged = syntax.judge_files(table(spark, d, "file_contents"), costs=False).join(files, "path", "left")
+    return judged.groupBy("project_code", "extension").agg(
+        F.count("*").alias("files"), F.count_if("broken").alias("broken"), F.avg(F.col("broken").cast("int")).alias("rate"),
+        *[F.count_if(F.col("cause") == c).alias(c) for c in ("truncation", "conflict", "mismatch", "error")],
+    )
+
+
 def p4_vectors(spark: SparkSession, d: str) -> DataFrame:
     """symbols and, by model, the newest staged embedding of each chunk; each (collection, id) once."""
     symbols = table(spark, d, "symbols").select(F.lit("symbols").alias("collection"), "id", "embedding")
@@ -135,7 +157,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+        "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_files": p3_files, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
         "p5_found": p5_found, "p5_kinds": p5_kinds, "p5_remaining": p5_remaining,
         "p6_packed": p6_packed, "p6_utilisation": p6_utilisation, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores,
