@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import importlib.util
 
-from pyspark.sql import DataFrame, SparkSession
+from thicket.plans.registry import ORACLES, QUERIES, Query
 
+for _module in ("code_queries", "pack_queries", "relational_queries", "retrieval_queries", "intent_queries", "ops_queries"):
+    if importlib.util.find_spec(f"thicket.plans.{_module}"):
+        importlib.import_module(f"thicket.plans.{_module}")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
