@@ -24,7 +24,7 @@ SELECT DISTINCT concat('P:', l_partkey) AS source, concat('P:', nxt) AS target,
   CASE (l_partkey * 7 + nxt) % 20 WHEN 0 THEN 'IMPORTS' WHEN 1 THEN 'USES' WHEN 2 THEN 'IMPLEMENTS' WHEN 3 THEN 'CALLS_NIF' WHEN 4 THEN 'READS' ELSE 'CALLS' END AS rel
 FROM (SELECT l_partkey, l_shipdate, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt,
         lead(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nd FROM lineitem) w
-WHERE nxt IS NOT NULL AND nd >= l_shipdate AND nd <= l_shipdate + INTERVAL 7 DAY
+WHERE nxt IS NOT NULL AND nd >= l_shipdate AND nd <= l_shipdate + INTERVAL 365 DAY
 UNION ALL
 SELECT concat('F:', min(l_suppkey)), concat('P:', l_partkey), 'CONTAINS' FROM lineitem GROUP BY l_partkey
 """
