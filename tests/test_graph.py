@@ -71,10 +71,10 @@ NODE = "id string, name string, project_code string, kind string, tested boolean
 
 def test_wiring_orphans_worked_case(spark):
     def n(name, public, tested=False):
-        return (f"AXO::app.rs::{name}", name, "AXO", "function", tested, public, False, False, False, None)
+        return (f"PRJ::app.rs::{name}", name, "PRJ", "function", tested, public, False, False, False, None)
 
     nodes = spark.createDataFrame([n("run_main", True), n("prod_fn", True), n("opv_case", True), n("isolated_pub", True), n("test_helper", False), n("declared_hook", True), n("a_test", False, True)], NODE)
-    i = "AXO::app.rs::"
+    i = "PRJ::app.rs::"
     edges = spark.createDataFrame([(i + "run_main", i + "prod_fn", "CALLS"), (i + "a_test", i + "opv_case", "CALLS"), (i + "a_test", i + "test_helper", "CALLS")], "source string, target string, rel string")
     declared = spark.createDataFrame([(i + "declared_hook",)], "id string")
     out = smells.wiring_orphans(nodes, edges, declared).orderBy("state", ascending=False).collect()

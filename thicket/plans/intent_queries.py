@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.operators import graph, intent
+from thicket.operators import contracts, graph, intent
 from thicket.plans.registry import query
 from thicket.plans.views import prelude, view
+from thicket.session import table
 
 WITH = prelude("intent_nodes", "intent_edges", "traces")
 COVER = "SELECT r.id, CASE WHEN status IN ('delivered', 'superseded', 'rejected', 'archived') THEN 'done' WHEN coalesce(e, 0) > 0 AND coalesce(b, 0) = 0 AND criteria IS NOT NULL AND status IN ('current', 'accepted') THEN 'done' WHEN coalesce(e, 0) > 0 OR criteria IS NOT NULL THEN 'partial' ELSE 'missing' END AS state, concat_ws(',', CASE WHEN coalesce(e, 0) = 0 THEN 'evidence' END, CASE WHEN coalesce(b, 0) > 0 THEN 'broken' END, CASE WHEN criteria IS NULL THEN 'criteria' END, CASE WHEN status NOT IN ('current', 'accepted', 'delivered', 'superseded', 'rejected', 'archived') THEN 'status' END) AS gaps, coalesce(e, 0) AS evidence, coalesce(b, 0) AS broken FROM intent_nodes r LEFT JOIN (SELECT entity, count(*) AS e, sum(CASE WHEN artifact_status = 'broken' THEN 1 ELSE 0 END)::BIGINT AS b FROM traces GROUP BY entity) t ON t.entity = r.id WHERE type = 'Requirement'"
@@ -85,3 +86,19 @@ def next_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("intent_children", WITH + "SELECT source AS id, rel FROM intent_edges WHERE target = 'PIL-3' ORDER BY id LIMIT 200")
 def intent_children(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "intent_edges").where("target = 'PIL-3'").select(F.col("source").alias("id"), "rel").orderBy("id").limit(200)
+
+
+@query("contract_shapes", "SELECT l_orderkey AS contract, sha256(string_agg(c, chr(31) ORDER BY c)) AS shape FROM (SELECT DISTINCT l_orderkey, concat(l_returnflag, l_linestatus, CAST(l_partkey AS VARCHAR)) AS c FROM lineitem) q GROUP BY l_orderkey")
+def contract_shapes(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("contract"), F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string")).alias("condition"))
+    return contracts.shape_hash(c)
+
+
+@query("contract_drift", prelude("nodes") + ", c AS (SELECT o_orderkey AS contract, CASE WHEN o_orderkey % 5 > 0 THEN concat('P:', o_orderkey % 2500) END AS symbol, CASE WHEN o_orderkey % 3 = 0 THEN 'function' ELSE 'method' END AS kind, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS baseline, 'F' AS shape FROM orders) SELECT contract, CASE WHEN symbol IS NULL THEN 'Unbound' WHEN n.kind IS NULL THEN 'SymbolMissing' WHEN n.kind <> c.kind THEN 'KindMismatch' WHEN baseline IS NULL THEN 'NoBaseline' WHEN baseline = shape THEN 'Aligned' ELSE 'ShapeDrift' END AS verdict FROM c LEFT JOIN nodes n ON n.id = c.symbol")
+def contract_drift(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    c = table(spark, d, "orders").select(
+        k.alias("contract"), F.when(k % 5 > 0, F.concat(F.lit("P:"), (k % 2500).cast("string"))).alias("symbol"), F.when(k % 3 == 0, "function").otherwise("method").alias("kind"),
+        F.when(k % 4 > 0, F.col("o_orderstatus")).alias("baseline"), F.lit("F").alias("shape"),
+    )
+    return contracts.drift(c, view(spark, d, "nodes"))
