@@ -259,6 +259,44 @@ class Maker:
                 f"// {self.camel()} Checks the {self.word()} key of one {self.word()}.", f"import {{ {self.camel()}, {self.camel()} }} from {q}./auth{q};", f"class {self.camel()} extends Auth {{", f"{self.camel()}({self.word()}, {q}{self.word()}_{self.word()}{q})"))]
         return [r.choice(("# ", "// ", "", "    log(\"", "> ", "-- ")) + self.prose()]
 
+    def made(self) -> str:
+        """A word of no list."""
+        r = self.r
+        return "".join(r.choice("bcdfghklmnprstvwz") + r.choice(("a", "e", "i", "o", "u", "ou", "ar", "en", "is")) for _ in range(r.randrange(1, 5)))
+
+    def sentence(self) -> str:
+        r = self.r
+        w = lambda: r.choice((self.word, self.made, self.made))()
+        small = ("the", "of", "is", "a", "to", "and", "in", "when", "le", "la", "du", "de", "der", "und", "was", "by", "at", "for", "it", "not", "est", "on", "every", "from", "after", "has")
+        out = [r.choice((w().title(), r.choice(small).title()))]
+        for _ in range(r.randrange(2, 14)):
+            out.append(r.choice((w, w, lambda: r.choice(small), lambda: r.choice(small), lambda: str(r.randrange(5000))))() + (r.choice((",", ";", ":")) if r.random() < 0.06 else ""))
+        if r.random() < 0.3:
+            out.insert(r.randrange(1, len(out)), r.choice((f"@{w()}_{w()}{r.randrange(99)}", f"{w()[:3].upper()}-{r.randrange(9999)}", f"{w().upper()[:3]}-{w().upper()[:3]}-{r.randrange(10**6)}", self.hexes(7), f"{w()}_{w()}", f"{w()}_{w()}_{w()}", f"`{w()}.{w()}`", f"{w()}'{w()}")))
+        return " ".join([*out, r.choice((w(), w(), f"{w()[:3].upper()}-{w().upper()[:3]}-{r.randrange(10**6)}"))]) + r.choice((".", ".", ".", "", "?", "!", ":"))
+
+    def ordinary(self) -> list:
+        """A line like most: no name of a secret, and nothing to hide."""
+        r = self.r
+        w = lambda: r.choice((self.word, self.made))()
+        ident = lambda: r.choice((w, w, self.camel, lambda: f"{w()}_{w()}", lambda: f"{w()}_{w()}{r.randrange(10)}", lambda: w().title() + w().title(), lambda: f"{w()}_{w()}_{w()}", lambda: f"{w()}_{w()}".upper(), lambda: f"{w().title()}_{w()}", lambda: self.chars(1, string.ascii_lowercase) + r.choice(("", "_", "$", "x", "2"))))()
+        n = lambda: str(r.choice((r.randrange(10), r.randrange(5000), r.randrange(10**6))))
+        file = lambda: r.choice((w() + "/", "", "", f"src/{w()}/")) + r.choice((ident(), f"{w()}_{w()}{r.randrange(10)}", f"{w()}-{w()}")) + r.choice((".js", ".py", ".rs", ".min.js", ".js.map", ".sql", ".ex", ".md", ".json", ".yaml", ".pb.c", ".conf", ".java", ".go", ".d.ts", "_pb2.py", ".html", ".txt"))
+        text = lambda: r.choice((w, lambda: f"{w()} {w()}", lambda: f"no {w()} for {w()}", lambda: f"{w()}/{w()}", lambda: f"{w()}.{w()}", lambda: f"{w()}: %s", file, lambda: f"{w()}-{w()}", n, lambda: f"{w()}_{w()}"))()
+        atom = lambda: r.choice((ident, ident, n, lambda: f"{ident()}.{ident()}", lambda: f"\"{text()}\"", lambda: f"{ident()}({ident()})", lambda: f"{ident()}[{ident()}]", lambda: f"'{text()}'", lambda: f"{ident()}->{ident()} + {n()}"))()
+        small = lambda: r.choice((f"{ident()}={atom()}", f"if({ident()}&&!{ident()}){ident()}=\"{w()}\"", f"for(var {ident()}=0;{ident()}<{ident()}.length;{ident()}++){ident()}({ident()}[{ident()}])", f"function {ident()}({ident()}){{return {ident()}.{w()}?{ident()}:{ident()}()}}", f"var {ident()}={ident()}({n()})", f"{ident()}.{w()}={ident()}||[]"))
+        tab = r.choice(("", "  ", "    ", "        ", "\t", "\t\t"))
+        return [tab + r.choice((
+            lambda: r.choice(("# ", "// ", "-- ", "", "docstring: ", "/// ", "* ", "\"\"\"", "> ", "- ")) + " ".join(self.sentence() for _ in range(r.choice((1, 1, 1, 2, 3, 5)))), lambda: f"// {ident()} {self.sentence()}", lambda: f"\"\"\"{self.sentence()}\"\"\"",
+            lambda: f"{r.choice(('let ', 'const ', 'var ', '', 'int ', 'String ', 'size_t ', 'auto '))}{ident()} {r.choice(('=', ':=', '+=', '=='))} {atom()}{r.choice((';', ''))}", lambda: f"{ident()}({', '.join(atom() for _ in range(r.randrange(4)))}){r.choice((';', '', '?;', ' {'))}",
+            lambda: f"{r.choice(('def', 'fn', 'pub fn', 'func', 'function', 'public int', 'export async function', 'defp', 'static void'))} {ident()}({', '.join(ident() + r.choice(('', ': ' + ident(), ' ' + ident())) for _ in range(r.randrange(4)))}){r.choice((' {', ':', ' do', ' -> ' + ident() + ' {', ' int64 {'))}",
+            lambda: f"func ({ident()} *{ident()}) {ident()}() int64 {{", lambda: f"{r.choice(('class', 'struct', 'module', 'defmodule', 'interface', 'type', 'impl'))} {ident()} {r.choice(('{', ':', 'do', ''))}", lambda: f"{r.choice(('if', 'while', 'for', 'else if', 'case', 'return'))} {atom()} {r.choice(('>', '==', 'in', '<', '&&'))} {atom()}{r.choice((':', ' {', ' do', ''))}",
+            lambda: r.choice(("}", "end", "});", "],", "else {", "} catch (err) {", "return null;", "break;", "continue", "{:ok, x}", ")", "---", "```", "*/")), lambda: f"import {r.choice((ident(), '{ ' + ident() + ' }'))} from \"{file()}\";", lambda: f"use {ident()}::{ident()}::{ident()};", lambda: f"symbol: {r.choice((file(), ident()))}", lambda: f"{w()}: {atom()}",
+            lambda: f"\"{ident()}\": {r.choice((n(), chr(34) + text() + chr(34), '[' + n() + ', ' + n() + ']'))},", lambda: f"path: {file()}", lambda: f"{r.choice(('const ', 'let ', 'String ', '', 'var '))}{r.choice(('commit', 'digest', 'sha', 'etag', 'revision', 'checksum', 'hash', 'build', w()))} {r.choice(('=', ':=', ':'))} \"{self.hexes(r.choice((7, 12, 32, 40, 64)))}\"{r.choice((';', ''))}",
+            lambda: "!function(e,t){" + ";".join(small() for _ in range(r.randrange(2, 9))) + "}", lambda: ";".join(small() for _ in range(r.randrange(2, 9))), lambda: f"SELECT {ident()}, {ident()} FROM {ident()} WHERE {ident()} = {atom()};", lambda: f"<{w()} class=\"{w()}-{w()}\" id=\"{ident()}\">{self.sentence()}</{w()}>",
+            lambda: f"{ident()} = \"{text()}\" {r.choice(('<>', '+', '.'))} {ident()}", lambda: f"|> {ident()}.{ident()}({atom()})", lambda: f"{n()}, {n()}, {n()}, {atom()}", lambda: f"- [{r.choice('x ')}] {self.sentence()}", lambda: f"assert {ident()}({atom()}) == {atom()}", lambda: f"https://{w()}.example/{w()}/{w()}?page={n()}",
+        ))()]
+
     def camel(self) -> str:
         r = self.r
         head = self.chars(3, string.ascii_lowercase) if r.random() < 0.3 else self.word()

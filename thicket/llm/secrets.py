@@ -1,7 +1,6 @@
 """Credentials in source code and configuration: a linear-chain conditional random field over lexical tokens.
 
-Lines that hold a cue or a dense literal (letters and digits that alternate) are cut into tokens (words, literals, quotes, signs, key-block
-marks). Features of shape and context (kind of the key to the left, quotes, calls, URL parts, place-holders)
+Every line is cut into tokens (words, literals, quotes, signs, key-block marks). Features of shape and context (kind of the key to the left, quotes, calls, URL parts, place-holders)
 score the labels outside, begin and inside; Viterbi paths give the exact characters to redact. The model
 is trained on the driver from generated examples, with exact gradients of the likelihood by forward and backward
 sums, once per process.
@@ -10,6 +9,7 @@ sums, once per process.
 from __future__ import annotations
 
 import functools
+import gc
 import math
 import random
 import re
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 O, B, I = 0, 1, 2
 DIM, EXAMPLES, STEPS, RATE, L2, SEED = 1 << 16, 6_000, 60, 0.12, 2e-6, 11
+#: Generated lines without any name of a secret, as most lines are.
+ORDINARY = 2_000
 
 TOKEN = re.compile(
     r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|-----(?:BEGIN|END) [A-Z0-9 ]+-----"
@@ -133,76 +135,112 @@ def shape(s: str) -> tuple[str, ...]:
     return (c, "k" + kinds + size, "g" + sign, *([word] if word else []), "K" + (key_kind(s) or "-"))
 
 
-_OPEN = {"(": "call", "[": "index"}
+class Kind:
+    """All that the features can tell of a token; tokens of one kind are alike to the model."""
 
+    __slots__ = ("c", "call", "key", "lean", "own", "sign", "verb")
 
-def token_features(tokens: list[str]) -> list[list[int]]:
-    """Hashed features of each token of a sequence."""
-    shapes = [shape(t) for t in tokens]
-    n = len(tokens)
-    solid = [i for i in range(n) if shapes[i][0] != "_"]
-    rank = {i: k for k, i in enumerate(solid)}
-    ahead_at, url_at = [False] * (n + 1), False
+    def __init__(self, t: str):
+        self.own = shape(t)
+        self.c = c = self.own[0]
+        #: The text of signs, "\n" and " "; empty for words and other space.
+        self.sign = (t if t in ("\n", " ") else "") if c == "_" else "" if any(x.isalnum() for x in t) else t
+        low = t.lower()
+        self.key = key_kind(t) if c not in ("_", "num") and len(t) < 40 and t[0].isalpha() else ""
+        self.lean = low if t.isalpha() and len(t) < 12 and (low in _SECRETS or low in _CONTEXT) else ""
+        self.call = "get" if _CALL.search(t) else "log" if _LOGIN.search(t) else "f"
+        self.verb = low if c == "word" and low in _CONTEXT else ""
+
+
+def _groups(kinds: list[Kind]) -> list[tuple]:
+    """The features of each token in groups that repeat across sequences; features_of spells a group out."""
+    solid = [k for k in kinds if k.c != "_"]
+    near = ["#", "#", "#", *(k.c for k in solid), "#", "#", "#", "#"]
+    lean = ["", "", *(k.lean for k in solid), ""]
+    ahead_at = [False] * (len(kinds) + 1)
     # an @ ahead within the same literal: the password part of a URL
-    for i in range(n - 1, -1, -1):
-        t = tokens[i]
-        ahead_at[i] = True if t == "@" else False if t in "\"'`\n " or t == "/" else ahead_at[i + 1]
-    out: list[list[int]] = [[] for _ in range(n)]
-    key, since, quote, pem, call, verb, scheme_user = "", 9, "", False, "", "", 0
-    for i in range(n):
-        t, own = tokens[i], shapes[i]
-        c = own[0]
+    for i in range(len(kinds) - 1, -1, -1):
+        t = kinds[i].sign
+        ahead_at[i] = ahead_at[i + 1] if not t else True if t == "@" else False if t in _URL_ENDS else ahead_at[i + 1]
+    out = []
+    key, since, quote, pem, call, verb, scheme_user, k = "", 9, "", False, "", "", 0, -1
+    for i, kind in enumerate(kinds):
+        c, t = kind.c, kind.sign
         if c == "_":
-            out[i] = [_h("space" + ("n" if t == "\n" else "") + ("P" if pem else ""))]
+            out.append((("_", t == "\n", pem),))
             if t == "\n":
                 since += 3
-            url_at = False
             continue
-        k = rank[i]
-        near = [shapes[solid[k + d]][0] if 0 <= k + d < len(solid) else "#" for d in (-3, -2, -1, 1, 2, 3, 4)]
-        text = [tokens[solid[k + d]] if 0 <= k + d < len(solid) else "" for d in (-2, -1, 1)]
-        lean = [x.lower() if x.isalpha() and len(x) < 12 and (x.lower() in _SECRETS or x.lower() in _CONTEXT) else "" for x in text]
-        where = f"{key or '-'}{min(since, 6)}"
-        url = "u" + ("s" if scheme_user else "") + ("a" if ahead_at[i] else "")
-        f = [
-            "b", *("0" + x for x in own), "q" + (quote or "-") + c, "w" + where, "W" + where + c, "K" + (key or "-") + c, "c" + (call or "-") + c, "v" + (verb or "-") + c,
-            "-1" + near[2], "-2" + near[1], "+1" + near[3], "+2" + near[4], "-1c" + near[2] + c, "-21" + near[1] + near[2], "-321" + near[0] + near[1] + near[2], "+1c" + c + near[3],
-            "U" + url, "U" + url + c, "P" + ("1" if pem else "0") + c, "l1" + lean[1], "l2" + lean[0], "l1c" + lean[1] + c, "l2c" + lean[0] + c, "n" + lean[2], "kq" + where + (quote or "-") + c,
-            "k1" + (key or "-") + near[2] + c, "j" + near[3] + near[4] + near[5] + c, "J" + near[3] + near[4] + near[5] + near[6] + (key or "-"),
-        ]
-        out[i] = [_h(x) for x in f]
+        k += 1
+        out.append((
+            kind, ("s", c, quote, key, since if since < 6 else 6, call, verb, scheme_user, ahead_at[i], pem),
+            ("l", c, near[k], near[k + 1], near[k + 2], lean[k], lean[k + 1], key), ("r", c, near[k + 4], near[k + 5], near[k + 6], near[k + 7], lean[k + 3], key),
+        ))
         # the state for what follows
         if c == "pembp":
             pem = True
         elif c.startswith("peme"):
             pem = False
-        kk = key_kind(t) if c not in ("num",) and len(t) < 40 and t[0].isalpha() else ""
+        kk = kind.key
         if kk:
-            key, since = (kk, 0) if not (quote and kk in ("o",) and since < 2) else (key, since + 1)
+            key, since = (kk, 0) if not (quote and kk == "o" and since < 2) else (key, since + 1)
         else:
             since += 1
+        if kind.verb:
+            verb = kind.verb
+        if not t:
+            continue
         if t in _QUOTES:
             quote = "" if quote == t else (quote or t)
+            scheme_user = 0
         elif t == "(":
-            prev = tokens[solid[k - 1]] if k else ""
-            call = "get" if _CALL.search(prev) else "log" if re.search(r"(?i)login|auth|connect|sign|password|secret|token|cred", prev) else "f"
-        elif t in ")\n":
+            call = solid[k - 1].call if k else "f"
+        elif t == ")":
             call = ""
-        if t == "://":
+        elif t == "://":
             scheme_user = 1
-        elif t == "@" or t in "\"'` ":
+        elif t == "@":
             scheme_user = 0
-        if c == "word" and t.lower() in _CONTEXT:
-            verb = t.lower()
-        elif t in ";\n":
-            verb = ""
-        if t in ",;&" and not quote:
-            key, since = ("", 9) if since > 1 else (key, since)
-        elif t in ";&" and since > 1:
-            key, since = "", 9
+        elif t in (",", ";", "&"):
+            if t == ";":
+                verb = ""
+            if not quote:
+                key, since = ("", 9) if since > 1 else (key, since)
+            elif t != "," and since > 1:
+                key, since = "", 9
     return out
 
 
+def features_of(group: tuple | Kind) -> list[int]:
+    """The hashed features of one group; a kind stands for those of its token alone."""
+    if isinstance(group, Kind):
+        return [_h(x) for x in ("b", *("0" + x for x in group.own))]
+    kind, c = group[0], group[1]
+    if kind == "_":
+        return [_h("space" + ("n" if c else "") + ("P" if group[2] else ""))]
+    if kind == "s":
+        _, c, quote, key, since, call, verb, scheme_user, ahead, pem = group
+        where, url = f"{key or '-'}{since}", "u" + ("s" if scheme_user else "") + ("a" if ahead else "")
+        f = [
+            "q" + (quote or "-") + c, "w" + where, "W" + where + c, "K" + (key or "-") + c, "c" + (call or "-") + c, "v" + (verb or "-") + c,
+            "U" + url, "U" + url + c, "P" + ("1" if pem else "0") + c, "kq" + where + (quote or "-") + c,
+        ]
+    elif kind == "l":
+        _, c, n3, n2, n1, l2, l1, key = group
+        f = ["-1" + n1, "-2" + n2, "-1c" + n1 + c, "-21" + n2 + n1, "-321" + n3 + n2 + n1, "l1" + l1, "l2" + l2, "l1c" + l1 + c, "l2c" + l2 + c, "k1" + (key or "-") + n1 + c]
+    else:
+        _, c, n1, n2, n3, n4, lean, key = group
+        f = ["+1" + n1, "+2" + n2, "+1c" + c + n1, "n" + lean, "j" + n1 + n2 + n3 + c, "J" + n1 + n2 + n3 + n4 + (key or "-")]
+    return [_h(x) for x in f]
+
+
+def token_features(tokens: list[str]) -> list[list[int]]:
+    """Hashed features of each token of a sequence."""
+    return [[x for g in groups for x in features_of(g)] for groups in _groups([Kind(t) for t in tokens])]
+
+
+_URL_ENDS = frozenset("\"'`\n /")
+_LOGIN = re.compile(r"(?i)login|auth|connect|sign|password|secret|token|cred")
 _QUOTES = frozenset("\"'`")
 _CONTEXT = frozenset("is was are at by in with identified role user machine login until old new tmp remove curl deploy basic bearer token password pwd key value begin end env vault must have has of du de le la set export run sha data image ssh from for".split())
 
@@ -230,6 +268,70 @@ class Crf:
         return paths
 
 
+class Tagger:
+    """Labels of many lines: exact, but each text, each sequence of kinds and each group of features is worked out once while remembered."""
+
+    def __init__(self, crf: Crf):
+        self.crf = crf
+        self.kinds: dict[str, Kind] = {}
+        self.alike: dict[tuple, Kind] = {}
+        self.rows: dict[tuple | Kind, int] = {}
+        self.sums = np.zeros((1 << 12, 3))
+        self.paths: dict[tuple[Kind, ...], bytes] = {}
+        self.texts: dict[str, list[tuple[int, int]]] = {}
+        self.size = 0
+
+    def kind(self, t: str) -> Kind:
+        k = self.kinds.get(t)
+        if k is None:
+            k = Kind(t)
+            own = tuple(self.crf.emit[features_of(k)].sum(0, dtype=float).tolist()) if k.c != "_" else ()
+            k = self.kinds[t] = self.alike.setdefault((own, k.c, k.sign, k.key, k.lean, k.call, k.verb), k)
+        return k
+
+    def _row(self, group: tuple | Kind) -> int:
+        n = len(self.rows)
+        if n == len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        self.sums[n] = self.crf.emit[features_of(group)].sum(0, dtype=float)
+        self.rows[group] = n
+        return n
+
+    def label(self, sequences: list[tuple[Kind, ...]]) -> None:
+        """The best paths of sequences, into paths; an empty one is all outside."""
+        new = sorted((s for s in set(sequences) if s not in self.paths), key=len)
+        self.size += 9 * sum(map(len, new))
+        rows, get = [], self.rows.get
+        for lo in range(0, len(new), 512):
+            part = new[lo : lo + 512]
+            rows, tokens = [], []
+            for s in part:
+                for groups in _groups(s):
+                    tokens.append(len(rows))
+                    rows += [self._row(g) if (r := get(g)) is None else r for g in groups]
+            flat = np.add.reduceat(self.sums[rows], tokens, axis=0)
+            lengths = np.array([len(s) for s in part])
+            score = np.zeros((len(part), int(lengths.max()), 3))
+            at = np.repeat(np.arange(len(part)), lengths)
+            score[at, np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+            for s, p in zip(part, _viterbi(score, lengths, self.crf.move), strict=True):
+                self.paths[s] = p.tobytes() if p.any() else b""
+
+    def forget(self) -> None:
+        """What is remembered is bounded, whatever the input."""
+        for held, most in ((self.kinds, 200_000), (self.rows, 400_000)):
+            if len(held) > most:
+                held.clear()
+        if self.size > 100_000_000 or len(self.texts) > 300_000:
+            self.texts.clear()
+            self.paths.clear()
+            self.size = 0
+        if len(self.alike) > 100_000:
+            self.alike.clear()
+            self.kinds.clear()
+            self.paths.clear()
+
+
 def _flat(sequences: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     feats = [f for s in sequences for t in s for f in t]
     counts = [len(t) for s in sequences for t in s]
@@ -344,9 +446,9 @@ def trained(examples: int = EXAMPLES, seed: int = SEED) -> Crf:
     """The tagger, trained on generated examples; the same in every process."""
     from thicket.llm.secret_examples import Maker
 
-    maker, data = Maker(seed), []
-    for _ in range(examples):
-        tokens, labels = _labelled(maker.example())
+    maker, plain, data = Maker(seed), Maker(seed + 1), []
+    for parts in (*(maker.example() for _ in range(examples)), *(plain.ordinary() for _ in range(ORDINARY))):
+        tokens, labels = _labelled(parts)
         if tokens:
             data.append((token_features(tokens), labels))
     return train_crf(data)
@@ -358,18 +460,24 @@ _KEY_LINE = re.compile(r"[>\s#/*\"'+]*(?:[A-Za-z0-9+/=\\]{16,}|[A-Za-z0-9+/=]+|-
 PART_TOKENS, PART_OVERLAP = 400, 60
 
 
+def _named(line: str) -> bool:
+    """Whether an unfinished line names what its next line may hold."""
+    return bool(CUE.search(line)) or any(dense(m[0]) for m in RUN.finditer(line)) or any(key_kind(w) for w in _NAME.findall(line) if len(w) < 40)
+
+
+_NAME = re.compile(r"[^\W\d_][\w\-]*")
+
+
 def units(text: str) -> list[tuple[int, int]]:
-    """Character ranges to tag: lines with a cue or a dense literal, with the lines a key block or an unfinished assignment goes on in."""
-    hits = sorted({m.start() for m in CUE.finditer(text)} | {m.start() for m in RUN.finditer(text) if dense(m[0])})
+    """Character ranges to tag: every line that is not blank, with the lines a key block or an unfinished assignment goes on in."""
     out: list[tuple[int, int]] = []
-    for h in hits:
-        if out and h < out[-1][1]:
-            continue
-        a = text.rfind("\n", 0, h) + 1
-        b = text.find("\n", h)
+    a = 0
+    while a < len(text):
+        b = text.find("\n", a)
         b = len(text) if b < 0 else b
         line = text[a:b]
-        begin = _PEM_BEGIN.search(line)
+        tail = line.rstrip()
+        begin = _PEM_BEGIN.search(line) if "-----BEGIN" in line else None
         if begin and "-----END" not in line[begin.end() :]:
             while b < len(text):
                 c = text.find("\n", b + 1)
@@ -380,42 +488,71 @@ def units(text: str) -> list[tuple[int, int]]:
                 b = c
                 if "-----END" in nxt:
                     break
-        else:
-            tail = line.rstrip()
+        elif tail and (tail[-1] in "+=:(\\|" or tail.endswith("<>")) and _named(line):
             while b < len(text) and tail and (tail[-1] in "+=:(\\" or tail.endswith(("<>", "|"))) and b - a < 4000:
                 c = text.find("\n", b + 1)
                 c = len(text) if c < 0 else c
                 tail = text[b + 1 : c].rstrip()
                 b = c
-        out.append((a, b))
+        if tail or b > a + len(line):
+            out.append((a, b))
+        a = b + 1
     return out
 
 
-def find_spans(texts: list[str | None], crf: Crf) -> list[list[tuple[int, int]]]:
-    """The secret characters of each text, as ranges."""
-    owners, places, sequences = [], [], []
-    for n, text in enumerate(texts):
-        for a, b in units(text) if text else ():
-            found = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
-            for k in range(0, max(1, len(found) - PART_OVERLAP), PART_TOKENS - PART_OVERLAP):
-                part = found[k : k + PART_TOKENS]
-                if part:
-                    owners.append((n, k))
-                    places.append(part)
-                    sequences.append(token_features([text[x:y] for x, y in part]))
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for (n, _), part, path in zip(owners, places, crf.label(sequences), strict=True):
-        spans, text = out[n], texts[n]
-        for (x, y), label in zip(part, path.tolist(), strict=True):
-            if label == O or (text[x:y].isspace() and not (label == I and spans and spans[-1][1] == x)):
+def _unit_spans(tokens: list[str], paths: list[bytes]) -> list[tuple[int, int]]:
+    """Spans of a unit from the paths of its windows."""
+    begin = [0]
+    for t in tokens:
+        begin.append(begin[-1] + len(t))
+    spans: list[tuple[int, int]] = []
+    for w, path in enumerate(paths):
+        at = w * (PART_TOKENS - PART_OVERLAP)
+        for k, label in enumerate(path, at):
+            x, y = begin[k], begin[k + 1]
+            if label == O or (tokens[k].isspace() and not (label == I and spans and spans[-1][1] == x)):
                 continue
             if label == I and spans and spans[-1][1] == x:
                 spans[-1] = (spans[-1][0], y)
             elif not (spans and x < spans[-1][1]):
                 spans.append((x, y))
-    return [
-        [(a, b) for a, b in ((a, a + len(t[a:b].rstrip())) for a, b in s) if b > a and not t.startswith("-----END", a)] if s else s for s, t in zip(out, texts, strict=True)
-    ]
+    return spans
+
+
+def find_spans(texts: list[str | None], tagger: Crf | Tagger) -> list[list[tuple[int, int]]]:
+    """The secret characters of each text, as ranges."""
+    tagger = Tagger(tagger) if isinstance(tagger, Crf) else tagger
+    collects = gc.isenabled()
+    gc.disable()  # many small tuples and no cycles
+    try:
+        return _spans(texts, tagger)
+    finally:
+        if collects:
+            gc.enable()
+
+
+def _spans(texts: list[str | None], tagger: Tagger) -> list[list[tuple[int, int]]]:
+    places = [(n, a, text[a:b]) for n, text in enumerate(texts) if text for a, b in units(text)]
+    new, windows, known = {}, [], tagger.kinds.get
+    for _, _, unit in places:
+        if unit in tagger.texts or unit in new:
+            continue
+        kinds = tuple([known(t) or tagger.kind(t) for t in TOKEN.findall(unit)])
+        new[unit] = parts = [kinds[k : k + PART_TOKENS] for k in range(0, max(1, len(kinds) - PART_OVERLAP), PART_TOKENS - PART_OVERLAP)]
+        windows += parts
+    tagger.label(windows)
+    for unit, parts in new.items():
+        paths = [tagger.paths[p] for p in parts]
+        tagger.size += len(unit)
+        tagger.texts[unit] = _unit_spans(TOKEN.findall(unit), paths) if any(paths) else []
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for n, a, unit in places:
+        for x, y in tagger.texts[unit]:
+            y = x + len(unit[x:y].rstrip())
+            if y > x and not unit.startswith("-----END", x):
+                out[n].append((a + x, a + y))
+    tagger.forget()
+    return out
 
 
 def masked(text: str, spans: list[tuple[int, int]], sign: str = "*") -> str:
@@ -442,7 +579,7 @@ def find_secrets(chunks: DataFrame, key: str = "id", text: str = "content", copy
     src = chunks.select(F.col(key).cast("string").alias("id"), F.col(text).alias("t"))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Crf(*shared.value)
+        own = Tagger(Crf(*shared.value))
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.slice(lo, 2000)
