@@ -24,11 +24,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Size of the hashed model; bounds of the training sample in documents.
-DIM, MAX_POSITIVE, MAX_NEGATIVE, MAX_UNLABELLED = 1 << 17, 3_000, 5_000, 10_000
+DIM, MAX_POSITIVE, MAX_NEGATIVE, MAX_UNLABELLED = 1 << 17, 3_000, 8_000, 16_000
 ROUNDS, STEPS, RATE, DECAY, THRESHOLD = 2, 240, 0.05, 2e-5, 0.5
 #: Share of the unlabelled and clean sentences in one step; words with no letter groups, as they are common.
 BATCH, COMMON = 8, 2_000
@@ -150,28 +151,30 @@ class _Rows:
     """Sentences as flat feature lists."""
 
     def __init__(self, lists: Iterable[list[int]]):
-        features_, lengths = array("i"), array("i")
+        features_, begin = array("i"), array("q", [0])
         for x in lists:
             features_.extend(x)
-            lengths.append(len(x))
-        self.n = len(lengths)
-        self.begin = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, dtype=np.int32) if lengths else [])]).astype(np.int64)
-        self.index = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.begin))
+            begin.append(len(features_))
+        self.n = len(begin) - 1
+        self.begin = np.frombuffer(begin, dtype=np.int64)
         self.feature = np.frombuffer(features_, dtype=np.int32) if features_ else np.empty(0, np.int32)
 
     def part(self, k: int, of: int) -> _Rows:
-        """The k-th of so many parts."""
+        """The k-th of so many parts; a view."""
         a, b = self.n * k // of, self.n * (k + 1) // of
         out = _Rows([])
         out.n, lo, hi = b - a, self.begin[a], self.begin[b]
-        out.index, out.feature = self.index[lo:hi] - a, self.feature[lo:hi]
+        out.begin, out.feature = self.begin[a : b + 1] - lo, self.feature[lo:hi]
         return out
 
+    def _index(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.begin))
+
     def scores(self, w: np.ndarray, b: float) -> np.ndarray:
-        return np.bincount(self.index, weights=w[self.feature], minlength=self.n) + b
+        return np.bincount(self._index(), weights=w[self.feature], minlength=self.n) + b
 
     def gradient(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.feature, weights=g[self.index], minlength=DIM)
+        return np.bincount(self.feature, weights=np.repeat(g, np.diff(self.begin)), minlength=DIM)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -207,8 +210,8 @@ def _fit(pos: _Rows, unl: _Rows, neg: _Rows, weight: np.ndarray, prior: float, s
     return w, b
 
 
-def _learn(bags: list[list], clean: set[tuple], neg: _Rows, unl: _Rows, common: frozenset[str]) -> tuple[np.ndarray, float, float, frozenset[str]]:
-    """Weights, bias and class prior from bags of positive sentences."""
+def _learn(bags: list[list], clean: set[tuple], neg: _Rows, unl: _Rows, common: frozenset[str], whole: Local | Spread) -> tuple[np.ndarray, float, float, frozenset[str]]:
+    """Weights, bias and class prior from bags of positive sentences; the prior is a share of all sentences of whole."""
     every = [s for b in bags for s in b]
     pos = _Rows(features(s, common) for s in every)
     bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
@@ -228,47 +231,164 @@ def _learn(bags: list[list], clean: set[tuple], neg: _Rows, unl: _Rows, common:
         weight = ((f >= best[bag] - 1.0) & (best[bag] > np.quantile(best, 0.5) - 6.0)).astype(float)
         if not weight.any():
             weight = (f >= best[bag]).astype(float)
-        prior = float(np.clip(2 * np.mean(unl.scores(*state) >= np.median(f[weight > 0])), PRIOR_LEAST, 0.1))
+        prior = float(np.clip(2 * whole.share(Model(*state, prior, common), float(np.median(f[weight > 0]))), PRIOR_LEAST, 0.1))
         chosen = _Rows(features(every[i], common) for i in np.flatnonzero(weight))
     return (*_fit(chosen, unl, neg, weight[weight > 0], prior, state), prior, common)
 
 
-def train(positive: list[str], negative: list[str], unlabelled: list[str]) -> Model:
+class Local:
+    """All unlabelled documents in this process: seen ones may train, unseen ones never do."""
+
+    def __init__(self, seen: list[list], unseen: list[list]):
+        self.seen, self.unseen = seen, unseen
+
+    def training(self) -> Iterable[list]:
+        return self.seen
+
+    def frequent(self, least: int) -> dict[str, int]:
+        """Words of at least so many documents, with their number."""
+        count: dict[str, int] = {}
+        for b in (*self.seen, *self.unseen):
+            for w in {w for s in b for w in s}:
+                count[w] = count.get(w, 0) + 1
+        return {w: n for w, n in count.items() if n >= least}
+
+    def share(self, model: Model, cut: float) -> float:
+        """The share of sentences at or above cut."""
+        f = [model.sentence(s) >= cut for b in (*self.seen, *self.unseen) for s in b]
+        return sum(f) / max(1, len(f))
+
+    def tops(self, models: list[Model]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each model the distinct logits of the unseen documents, falling, and how many have each."""
+        out = []
+        for m in models:
+            u, n = np.unique([_grid(max(m.sentence(s) for s in b)) for b in self.unseen], return_counts=True)
+            out.append((u[::-1] * GRID, n[::-1]))
+        return out
+
+
+class Spread:
+    """All documents of a table. Those up to a place in the order of hashes may train, the others never do; only counts reach the driver."""
+
+    def __init__(self, documents: DataFrame, most: int):
+        def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = ["\n".join(" ".join(s) for s in sentences(t) if s) for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.string())], names=["h", "i", "words"])
+
+        src = documents.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("i"), "text").where("text <> ''")
+        # reading the text is most of the work: the words are kept on disk for the passes of one fit
+        self.parsed = src.mapInArrow(parse, "h long, i string, words string").where("words <> ''").persist(StorageLevel.DISK_ONLY)
+        n = min(most, self.parsed.count() * 3 // 4)
+        last = self.parsed.select("h", "i").orderBy("h", "i").limit(n).agg(F.max(F.struct("h", "i")).alias("m")).first()["m"] if n else None
+        self.is_seen = (F.struct("h", "i") <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["i"]).alias("i"))) if last else F.lit(False)
+
+    def close(self) -> None:
+        self.parsed.unpersist()
+
+    def training(self) -> Iterable[list]:
+        for r in self.parsed.where(self.is_seen).orderBy("h", "i").select("words").toLocalIterator():
+            yield _parsed(r["words"])
+
+    def _models(self, models: list[Model]):
+        return self.parsed.sparkSession.sparkContext.broadcast([(m.weights.astype(np.float32), m.bias, m.prior, m.common) for m in models])
+
+    def frequent(self, least: int) -> dict[str, int]:
+        words = self.parsed.select(F.explode(F.array_distinct(F.split("words", "[ \n]"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+        # letter order breaks ties, as in train; no more than COMMON words are wanted
+        return {r["w"]: r["n"] for r in words.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(COMMON).collect()}
+
+    def share(self, model: Model, cut: float) -> float:
+        shared = self._models([model])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Model(*shared.value[0])
+            for batch in batches:
+                f = [own.sentence(s) >= cut for t in batch.column(0).to_pylist() for s in _parsed(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([sum(f)], pa.int64()), pa.array([len(f)], pa.int64())], names=["a", "n"])
+
+        row = self.parsed.select("words").mapInArrow(count, "a long, n long").agg(F.sum("a"), F.sum("n")).first()
+        return (row[0] or 0) / max(1, row[1] or 0)
+
+    def tops(self, models: list[Model]) -> list[tuple[np.ndarray, np.ndarray]]:
+        shared = self._models(models)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = [Model(*x) for x in shared.value]
+            for batch in batches:
+                got: dict[tuple[int, int], int] = {}
+                for t in batch.column(0).to_pylist():
+                    b = _parsed(t)
+                    for k, m in enumerate(own):
+                        x = (k, _grid(max(m.sentence(s) for s in b)))
+                        got[x] = got.get(x, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([k for k, _ in got], [u for _, u in got], list(got.values()))], names=["k", "u", "n"])
+
+        rows = self.parsed.where(~self.is_seen).select("words").mapInArrow(count, "k long, u long, n long").groupBy("k", "u").agg(F.sum("n").alias("n")).collect()
+        out = []
+        for k in range(len(models)):
+            own = sorted(((r["u"], r["n"]) for r in rows if r["k"] == k), reverse=True)
+            out.append((np.array([u for u, _ in own]) * GRID, np.array([n for _, n in own], dtype=np.int64)))
+        return out
+
+
+def _parsed(words: str) -> list[list[str]]:
+    return [s.split(" ") for s in words.split("\n")]
+
+
+#: Logits are counted on a grid of this width, within 50 of 0.
+GRID = 0.002
+
+
+def _grid(x: float) -> int:
+    return round(min(50.0, max(-50.0, x)) / GRID)
+
+
+def _best_cut(recall: np.ndarray, number: np.ndarray) -> int:
+    """Where recall^2 / number is best; of places about as good the last."""
+    worth = recall**2 / number
+    return int(np.flatnonzero(worth >= NEAR_BEST * worth.max())[-1])
+
+
+def train(positive: list[str], negative: list[str], unlabelled: list[str] | Spread) -> Model:
     """The model of the samples. Without any positive document nothing scores above 0.
 
-    A quarter of the unlabelled documents never trains. Cross-fitting finds how many of them to flag: the number k that
+    At least a quarter of the unlabelled documents never trains, and all of them that the sample leaves out. Cross-fitting finds how many of them to flag: the number k that
     maximises r^2 / k, the squared recall among confirmed documents unseen by the model over the number flagged,
     which needs no negative examples; of numbers about as good the largest. The bias then puts the cut of the final model, at a probability of one
-    half, below its k-th of these documents.
+    half, below its k-th of these documents. Word frequencies and the class prior are of all documents.
     """
     split = lambda ts: [b for b in ([s for s in sentences(t) if s] for t in ts) if b]
-    bags, free = split(positive), split(unlabelled)
+    bags = split(positive)
     if not bags:
         return Model(np.zeros(DIM), -30.0, 0.0)
-    rare = len(free) // 4
-    unseen, seen = free[:rare], free[rare:]
-    count: dict[str, int] = {}
-    for b in seen:
-        for w in {w for s in b for w in s}:
-            count[w] = count.get(w, 0) + 1
+    if isinstance(unlabelled, list):
+        free = split(unlabelled)
+        unlabelled = Local(free[len(free) // 4 :], free[: len(free) // 4])
+    whole = unlabelled
     # letter groups are for words that the unlabelled text hardly knows
-    common = frozenset(sorted((w for w, n in count.items() if n >= 20), key=lambda w: (-count[w], w))[:COMMON])
+    common = frozenset(sorted((count := whole.frequent(20)), key=lambda w: (-count[w], w))[:COMMON])
     clean = {tuple(s) for t in negative for s in sentences(t)}
     neg = _Rows(features(list(s), common) for s in sorted(clean))
-    unl = _Rows(features(s, common) for b in seen for s in b) if seen else _Rows([[0]])
-    top = lambda model, bs: np.array([max(model.sentence(s) for s in b) for b in bs])
+    unl = _Rows(features(s, common) for b in whole.training() for s in b)
+    unl = unl if unl.n else _Rows([[0]])
+    top = lambda model, bs: np.array([_grid(max(model.sentence(s) for s in b)) * GRID for b in bs])
     folds = min(FOLDS, len(bags))
-    recall = np.zeros(len(unseen))
-    for k in range(folds if folds > 1 else 0):
-        model = Model(*_learn([b for i, b in enumerate(bags) if i % folds != k], clean, neg, unl, common))
-        p, u = np.sort(top(model, bags[k::folds])), np.sort(top(model, unseen))[::-1]
-        recall += (1 - np.searchsorted(p, u) / len(p)) / folds
-    weights, bias, prior, _ = _learn(bags, clean, neg, unl, common)
-    if recall.any():
-        u = np.sort(top(Model(weights, bias, prior, common), unseen))[::-1]
-        worth = recall**2 / np.arange(1, len(u) + 1)
-        k = int(np.flatnonzero(worth >= NEAR_BEST * worth.max())[-1])
-        bias -= (u[k] + u[k + 1]) / 2 if k + 1 < len(u) else u[k]
+    models = [Model(*_learn([b for i, b in enumerate(bags) if i % folds != k], clean, neg, unl, common, whole)) for k in range(folds if folds > 1 else 0)]
+    weights, bias, prior, _ = _learn(bags, clean, neg, unl, common, whole)
+    *fold_tops, (u, n) = whole.tops([*models, Model(weights, bias, prior, common)])
+    number = np.cumsum(n)
+    if models and len(number):
+        # recall of each fold at each rank where its own scores or those of another step
+        ranks = np.unique(np.concatenate([np.cumsum(m) for _, m in fold_tops] + [number]))
+        recall = np.zeros(len(ranks))
+        for k, (model, (v, m)) in enumerate(zip(models, fold_tops, strict=True)):
+            p = np.sort(top(model, bags[k::folds]))
+            at = np.minimum(np.searchsorted(np.cumsum(m), ranks), len(v) - 1)
+            recall += (1 - np.searchsorted(p, v[at]) / len(p)) / folds
+        if recall.any():
+            k = int(np.searchsorted(number, ranks[_best_cut(recall, ranks)]))
+            bias -= (u[k] + u[k + 1]) / 2 if k + 1 < len(u) else u[k]
     return Model(weights, bias, prior, common)
 
 
@@ -280,13 +400,18 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """Train on bounded samples: MAX_POSITIVE and MAX_NEGATIVE labelled and MAX_UNLABELLED unlabelled documents, by hash of doc_id."""
+    """Weights from bounded samples, MAX_POSITIVE and MAX_NEGATIVE labelled and MAX_UNLABELLED unlabelled documents, by hash of doc_id; the rest from all."""
     order = F.xxhash64("doc_id")
     known = labelled(documents, labels)
     take = lambda df, n: [r["text"] for r in df.orderBy(order, "doc_id").limit(n).select("text").collect()]
     positive, negative = take(known.where("abusive"), MAX_POSITIVE), take(known.where("not abusive"), MAX_NEGATIVE)
-    free = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    return train(positive, negative, take(free, MAX_UNLABELLED))
+    if not positive:
+        return train([], negative, [])
+    whole = Spread(documents, MAX_UNLABELLED)
+    try:
+        return train(positive, negative, whole)
+    finally:
+        whole.close()
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
