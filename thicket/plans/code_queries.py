@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.operators import graph, health, smells
+from thicket.operators import graph, health, retrieval, smells
 from thicket.plans.registry import query
 from thicket.plans.views import prelude, view
+from thicket.session import table
 
 START, END = "P:10", "P:77"
 WITH = prelude("nodes", "edges")
@@ -217,14 +218,27 @@ for _name, (_detector, _sql) in DETECTORS.items():
     query(_name, _sql)(lambda spark, d, f=_detector: f(*both(spark, d)))
 
 
+#: Symbols nearer than this are duplicates, as studied.
+DUPLICATE = 0.10
+
+
+def evidence(spark: SparkSession, d: str) -> dict:
+    """What the axes measure besides the graph: symbols with a trace, and near-duplicate pairs of symbols by their vectors."""
+    traced = view(spark, d, "traces").where("artifact_type = 'Symbol'").select(F.col("artifact_ref").alias("id")).distinct()
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    owner = lambda c: F.concat(F.lit("P:"), F.col(c) % 200)
+    pairs = retrieval.similar_pairs(vectors, "label", DUPLICATE).select(owner("a").alias("a"), owner("b").alias("b")).where("a <> b")
+    return {"traced": traced, "duplicates": pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().count()}
+
+
 @query("structural_health_index")
 def structural_health_index(spark: SparkSession, d: str) -> DataFrame:
-    return health.index(*both(spark, d))
+    return health.index(*both(spark, d), **evidence(spark, d))
 
 
 @query("health_worklist")
 def health_worklist(spark: SparkSession, d: str) -> DataFrame:
-    return health.worklist(*both(spark, d))
+    return health.worklist(*both(spark, d), **evidence(spark, d))
 
 
 @query("main_sequence", WITH + ", m AS (SELECT id, project_code AS module, kind = 'interface' AS abstract FROM nodes WHERE kind <> 'file'), x AS (SELECT DISTINCT a.module AS s, b.module AS t, e.source, e.target FROM edges e JOIN m a ON a.id = e.source JOIN m b ON b.id = e.target WHERE a.module <> b.module AND e.rel IN ('CALLS', 'CALLS_NIF', 'IMPORTS', 'IMPLEMENTS', 'USES', 'READS', 'READS_ARTIFACT')), ca AS (SELECT t AS module, count(DISTINCT source) AS ca FROM x GROUP BY t), ce AS (SELECT s AS module, count(DISTINCT target) AS ce FROM x GROUP BY s), a AS (SELECT module, avg(CASE WHEN abstract THEN 1.0 ELSE 0 END) AS a FROM m GROUP BY module) SELECT a.module, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, round(abs(a.a + coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0))::DOUBLE - 1), 6) AS distance FROM a LEFT JOIN ca ON ca.module = a.module LEFT JOIN ce ON ce.module = a.module WHERE coalesce(ca, 0) + coalesce(ce, 0) > 0")
