@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from thicket.llm import layout, secrets, syntax, toxicity
+from thicket.llm.chart import Grammar
 from thicket.llm.secret_examples import Maker
 
 VALID = {
@@ -39,9 +42,69 @@ def test_judge_files(spark):
 
 def test_repair_cost():
     g = syntax.language("js").grammar
-    assert g.cost(tuple("const id eq num".split())) == (0, -1)
-    assert g.cost(tuple("const id eq".split()))[0] == 1
-    assert g.cost(tuple("id id eq num".split()))[0] == 1
+    assert g.repair(tuple("const id eq num".split())) == (0, [])
+    assert g.repair(tuple("const id eq".split())) == (1, [(3, "insert")])
+    assert g.repair(tuple("id id eq num".split()))[0] == 1
+    long = ("id", *["com", "id"] * 80)
+    assert g.repair(long)[0] == 0 and g.repair((*long[:81], "com", "const", *long[81:]))[0] >= 1
+
+
+def test_repair_is_minimal_against_brute_force():
+    g = Grammar("unit = id eq expr | list?\nexpr = term ( plus term )*\nterm = id | num | lp expr rp\nlist = lb expr ( com expr )* rb")
+    terminals, r = sorted(g.terminals), random.Random(5)
+
+    def brute(tokens, most):
+        seen = layer = {tokens}
+        for cost in range(most + 1):
+            if any(g.accepts(t) for t in layer):
+                return cost
+            edits = {t[:i] + x + t[i + w :] for t in layer for i in range(len(t) + 1) for w in (0, 1) for x in [(), *((y,) for y in terminals)]}
+            layer, seen = edits - seen, seen | edits
+        return most + 1
+
+    for _ in range(60):
+        tokens = tuple(r.choice(terminals) for _ in range(r.randrange(0, 5)))
+        cost, edits = g.repair(tokens)
+        assert min(cost, 3) == brute(tokens, 2) and len(edits) == cost
+
+
+def test_brackets_at_least_cost():
+    def cost(text):
+        m = syntax.match_brackets(list(text), *syntax._BRACKETS)
+        return sum(1 if i < 0 else text[i] != syntax._CLOSE[text[j]] for j, i in m.items()) + text.count("(") + text.count("[") - sum(i >= 0 for i in m.values())
+
+    def brute(text):
+        seen, line, edits = {text}, {text}, 0
+        while True:
+            for t in line:
+                while (u := t.replace("()", "").replace("[]", "")) != t:
+                    t = u
+                if not t:
+                    return edits
+            pair = {"(": "[", "[": "(", ")": "]", "]": ")"}
+            line = {e for t in line for i in range(len(t)) for e in (t[:i] + t[i + 1 :], t[:i] + pair[t[i]] + t[i + 1 :])} - seen
+            seen |= line
+            edits += 1
+
+    r = random.Random(3)
+    for _ in range(200):
+        text = "".join(r.choice("()[]") for _ in range(r.randrange(0, 8)))
+        assert cost(text) == brute(text), text
+
+
+def test_brackets_have_their_own_contents():
+    assert syntax.analyse("json", '{"a"}') and syntax.analyse("json", "{1, 2}") and syntax.analyse("json", '["k": 1]') and not syntax.analyse("json", '[{}, {"k": [1]}]')
+    assert syntax.analyse("java", "class A { int f(int x) { return x } }") and syntax.analyse("js", "f(a; b);") and not syntax.analyse("js", "for (let i = 0; i < 3; i++) { f(i); }")
+
+
+def test_cause_follows_the_places_of_the_edits():
+    text = VALID["java"]
+    of = lambda e, t: syntax.cause(t, syntax.analyse(e, t))
+    assert of("java", text[: int(len(text) * 0.7)]) == "truncation"
+    assert of("go", VALID["py"] * 3) == "mismatch"
+    lines = VALID["js"].rstrip("\n").split("\n")
+    assert of("js", "\n".join([*lines[:-1], "<<<<<<< HEAD", lines[-1], "=======", lines[-1], ">>>>>>> other"])) == "conflict"
+    assert of("py", "def f(a):\n    return a\n\n\n" * 5 + "x = = 1\n" + "def g(a):\n    return a\n\n\n" * 5) == "error"
 
 
 def test_crf_held_out():

@@ -49,7 +49,7 @@ def p3_files(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The files whose newest content does not parse."""
-    return syntax.judge_files(table(spark, d, "file_contents"), costs=False).where("broken").select("path")
+    return syntax.judge_files(table(spark, d, "file_contents")).where("broken").select("path")
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "indexed_files").groupBy("path").agg(
         F.max_by("project_code", F.struct(F.coalesce("last_seen_ms", F.lit(-1)), F.coalesce("project_code", F.lit("")))).alias("project_code")
     )
-    judged = syntax.judge_files(table(spark, d, "file_contents"), costs=False).join(files, "path", "left")
+    judged = syntax.judge_files(table(spark, d, "file_contents")).join(files, "path", "left")
     return judged.groupBy("project_code", "extension").agg(
         F.count("*").alias("files"), F.count_if("broken").alias("broken"), F.avg(F.col("broken").cast("int")).alias("rate"),
         *[F.count_if(F.col("cause") == c).alias(c) for c in ("truncation", "conflict", "mismatch", "error")],
