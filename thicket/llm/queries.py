@@ -22,8 +22,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk with its secrets masked."""
-    return secrets.find_secrets(table(spark, d, "chunks"), copy=True).dropDuplicates(["id"])
+    """Every row of chunks with its secrets masked; a repeated id comes out repeated, so no text is moved."""
+    return secrets.find_secrets(table(spark, d, "chunks"), copy=True)
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -152,8 +152,13 @@ class Kind:
         self.verb = low if c == "word" and low in _CONTEXT else ""
 
 
-def _groups(kinds: list[Kind]) -> list[tuple]:
-    """The features of each token in groups that repeat across sequences; features_of spells a group out."""
+#: What the tokens before say: kind of the last name, tokens since, open quote, within a key block, call, verb, within the user part of a URL.
+State = tuple[str, int, str, bool, str, str, int]
+START: State = ("", 9, "", False, "", "", 0)
+
+
+def _groups(kinds: list[Kind], state: State = START, until: int = -1) -> tuple[list[tuple], State]:
+    """The features of each token in groups that repeat across sequences (features_of spells a group out), and the state after the first until tokens."""
     solid = [k for k in kinds if k.c != "_"]
     near = ["#", "#", "#", *(k.c for k in solid), "#", "#", "#", "#"]
     lean = ["", "", *(k.lean for k in solid), ""]
@@ -163,8 +168,11 @@ def _groups(kinds: list[Kind]) -> list[tuple]:
         t = kinds[i].sign
         ahead_at[i] = ahead_at[i + 1] if not t else True if t == "@" else False if t in _URL_ENDS else ahead_at[i + 1]
     out = []
-    key, since, quote, pem, call, verb, scheme_user, k = "", 9, "", False, "", "", 0, -1
+    key, since, quote, pem, call, verb, scheme_user = state
+    k, after = -1, state
     for i, kind in enumerate(kinds):
+        if i == until:
+            after = (key, since, quote, pem, call, verb, scheme_user)
         c, t = kind.c, kind.sign
         if c == "_":
             out.append((("_", t == "\n", pem),))
@@ -208,7 +216,7 @@ def _groups(kinds: list[Kind]) -> list[tuple]:
                 key, since = ("", 9) if since > 1 else (key, since)
             elif t != "," and since > 1:
                 key, since = "", 9
-    return out
+    return out, after
 
 
 def features_of(group: tuple | Kind) -> list[int]:
@@ -236,7 +244,7 @@ def features_of(group: tuple | Kind) -> list[int]:
 
 def token_features(tokens: list[str]) -> list[list[int]]:
     """Hashed features of each token of a sequence."""
-    return [[x for g in groups for x in features_of(g)] for groups in _groups([Kind(t) for t in tokens])]
+    return [[x for g in groups for x in features_of(g)] for groups in _groups([Kind(t) for t in tokens])[0]]
 
 
 _URL_ENDS = frozenset("\"'`\n /")
@@ -277,7 +285,7 @@ class Tagger:
         self.alike: dict[tuple, Kind] = {}
         self.rows: dict[tuple | Kind, int] = {}
         self.sums = np.zeros((1 << 12, 3))
-        self.paths: dict[tuple[Kind, ...], bytes] = {}
+        self.paths: dict[tuple[State, tuple[Kind, ...]], bytes] = {}
         self.texts: dict[str, list[tuple[int, int]]] = {}
         self.size = 0
 
@@ -297,20 +305,20 @@ class Tagger:
         self.rows[group] = n
         return n
 
-    def label(self, sequences: list[tuple[Kind, ...]]) -> None:
-        """The best paths of sequences, into paths; an empty one is all outside."""
-        new = sorted((s for s in set(sequences) if s not in self.paths), key=len)
-        self.size += 9 * sum(map(len, new))
+    def label(self, sequences: list[tuple[State, tuple[Kind, ...]]]) -> None:
+        """The best paths of sequences that begin in a state, into paths; an empty one is all outside."""
+        new = sorted((s for s in set(sequences) if s not in self.paths), key=lambda s: len(s[1]))
+        self.size += 9 * sum(len(s[1]) for s in new)
         rows, get = [], self.rows.get
         for lo in range(0, len(new), 512):
             part = new[lo : lo + 512]
             rows, tokens = [], []
             for s in part:
-                for groups in _groups(s):
+                for groups in _groups(s[1], s[0])[0]:
                     tokens.append(len(rows))
                     rows += [self._row(g) if (r := get(g)) is None else r for g in groups]
             flat = np.add.reduceat(self.sums[rows], tokens, axis=0)
-            lengths = np.array([len(s) for s in part])
+            lengths = np.array([len(s[1]) for s in part])
             score = np.zeros((len(part), int(lengths.max()), 3))
             at = np.repeat(np.arange(len(part)), lengths)
             score[at, np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
@@ -455,8 +463,8 @@ def trained(examples: int = EXAMPLES, seed: int = SEED) -> Crf:
 
 
 _PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
-_KEY_LINE = re.compile(r"[>\s#/*\"'+]*(?:[A-Za-z0-9+/=\\]{16,}|[A-Za-z0-9+/=]+|-----END .*|(?:Proc-Type|DEK-Info):.*)?[\s\"'`+;,)]*$")
-#: A line longer than this is tagged in parts that overlap, so that no text is cut off and memory stays bounded.
+_KEY_LINE = re.compile(r"[>\s#/*\"'+]*(?:[A-Za-z0-9+/=\\]{16,}|[A-Za-z0-9+/=]+|-----END .*|[A-Z][A-Za-z-]+: .*)?[\s\"'`+;,)]*$")
+#: A line longer than this is tagged in parts that overlap and hand on their state, so that no text is cut off and memory stays bounded.
 PART_TOKENS, PART_OVERLAP = 400, 60
 
 
@@ -479,17 +487,19 @@ def units(text: str) -> list[tuple[int, int]]:
         tail = line.rstrip()
         begin = _PEM_BEGIN.search(line) if "-----BEGIN" in line else None
         if begin and "-----END" not in line[begin.end() :]:
+            headers = True  # a blank line ends the headers of an armoured key, not the key
             while b < len(text):
                 c = text.find("\n", b + 1)
                 c = len(text) if c < 0 else c
                 nxt = text[b + 1 : c]
-                if not nxt.strip() or not _KEY_LINE.match(nxt):
+                if not nxt.strip() and not headers or not _KEY_LINE.match(nxt):
                     break
+                headers = headers and ": " in nxt
                 b = c
                 if "-----END" in nxt:
                     break
         elif tail and (tail[-1] in "+=:(\\|" or tail.endswith("<>")) and _named(line):
-            while b < len(text) and tail and (tail[-1] in "+=:(\\" or tail.endswith(("<>", "|"))) and b - a < 4000:
+            while b < len(text) and tail and (tail[-1] in "+=:(\\" or tail.endswith(("<>", "|"))):
                 c = text.find("\n", b + 1)
                 c = len(text) if c < 0 else c
                 tail = text[b + 1 : c].rstrip()
@@ -500,6 +510,17 @@ def units(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _windows(kinds: tuple[Kind, ...]) -> list[tuple[State, tuple[Kind, ...]]]:
+    """Overlapping parts of a line, each with the state the tokens before it leave."""
+    step, out, state = PART_TOKENS - PART_OVERLAP, [], START
+    for k in range(0, max(1, len(kinds) - PART_OVERLAP), step):
+        part = kinds[k : k + PART_TOKENS]
+        out.append((state, part))
+        if k + step < len(kinds) - PART_OVERLAP:
+            state = _groups(part, state, step)[1]
+    return out
+
+
 def _unit_spans(tokens: list[str], paths: list[bytes]) -> list[tuple[int, int]]:
     """Spans of a unit from the paths of its windows."""
     begin = [0]
@@ -516,6 +537,25 @@ def _unit_spans(tokens: list[str], paths: list[bytes]) -> list[tuple[int, int]]:
                 spans[-1] = (spans[-1][0], y)
             elif not (spans and x < spans[-1][1]):
                 spans.append((x, y))
+    return _whole_keys(tokens, begin, spans) if any(t.startswith("-----BEGIN") for t in tokens) else spans
+
+
+def _whole_keys(tokens: list[str], begin: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A private-key block of which the model tags any part is one span, from its begin mark to the last character before its end mark."""
+    i = 0
+    while i < len(tokens):
+        if not _PEM_BEGIN.match(tokens[i]):
+            i += 1
+            continue
+        j = i + 1
+        while j < len(tokens) and not tokens[j].startswith("-----END"):
+            j += 1
+        body = [k for k in range(i + 1, j) if not tokens[k].isspace() and tokens[k] not in ("\\n", "\\r")]
+        if body:
+            a, b = begin[i], begin[body[-1] + 1]
+            if any(x < b and a < y for x, y in spans):
+                spans = sorted([s for s in spans if s[1] <= a or b <= s[0]] + [(a, b)])
+        i = j
     return spans
 
 
@@ -538,7 +578,7 @@ def _spans(texts: list[str | None], tagger: Tagger) -> list[list[tuple[int, int]
         if unit in tagger.texts or unit in new:
             continue
         kinds = tuple([known(t) or tagger.kind(t) for t in TOKEN.findall(unit)])
-        new[unit] = parts = [kinds[k : k + PART_TOKENS] for k in range(0, max(1, len(kinds) - PART_OVERLAP), PART_TOKENS - PART_OVERLAP)]
+        new[unit] = parts = _windows(kinds)
         windows += parts
     tagger.label(windows)
     for unit, parts in new.items():
