@@ -60,6 +60,40 @@ def test_knn_against_brute_force(spark):
     assert len(set(zip(full["id"], full["rank"])) - set(zip(near["id"], near["rank"]))) <= 0.1 * len(full)
 
 
+def test_leaves_and_boxes():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((1000, knn.M)).astype(np.float32)
+    order = knn.leaf_order(x)
+    assert sorted(order.tolist()) == list(range(1000)) and len(knn.leaf_order(x[:0])) == 0
+    low, high = knn.boxes_of(x[order])
+    assert len(low) == 4 and (low <= high).all()
+    gap = knn.apart(low, high, low, high)
+    least = [[((x[order][a : a + 256, None] - x[order][None, b : b + 256]) ** 2).sum(2).min() for b in range(0, 1000, 256)] for a in range(0, 1000, 256)]
+    assert (gap <= np.array(least) + 1e-4).all()
+
+
+def test_the_stop_passes_rows_over(tmp_path, spark):
+    """Near pairs are all found although few of the other rows are verified."""
+    r = np.random.default_rng(7)
+    x = knn.unit(r.standard_normal((4096, 64)).astype(np.float32))
+    x[1::2] = knn.unit(x[::2] + 0.02 * r.standard_normal((2048, 64)))
+    proj = knn.projection(64)
+    order = knn.leaf_order(x @ proj)
+    x, ids = x[order], [f"i{i:04d}" for i in order]
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "part=0").mkdir()
+    pq.write_table(pa.table({"ids": [ids], "vectors": [x.tobytes()], "ranks": [order.astype(np.int32).tobytes()]}), tmp_path / "part=0" / "a.parquet")
+    p = x @ proj
+    frame = (np.array([0]), p.min(0, keepdims=True), p.max(0, keepdims=True))
+    own, _, best_s, best_i, known, verified = knn._neighbours(f"file:{tmp_path}", frame, 0, 0, 2048, 10, 64, 0.9, proj)
+    s = x[:2048] @ x.T
+    s[np.arange(2048), np.arange(2048)] = -1
+    assert (best_s[:, 0] > 0.9).sum() >= 0.98 * (s.max(1) >= 0.9).sum()
+    assert verified < 0.02 * 2048 * 4096
+
+
 def test_knn_empty(spark):
     assert knn.all_neighbours(spark.createDataFrame([], "collection string, id string, embedding array<float>")).count() == 0
 
