@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words a question's terms leave out: fixed values.
@@ -25,6 +25,11 @@ def relevance(name: Column, wanted: str) -> list[Column]:
     return [(n == w).desc(), n.startswith(w).desc(), F.nullif(F.instr(n, w), F.lit(0)).asc_nulls_last(), F.length(name), name]
 
 
+def in_scope(df: DataFrame, project: str) -> DataFrame:
+    """Rows of a project; all of them for an empty name or a star."""
+    return df if project in ("", "*") else df.where(F.col("project_code") == project)
+
+
 def terms(question: Column) -> Column:
     """Distinct words of three letters or more without the stop words, in their order."""
     words = F.split(F.lower(question), r"[^a-z0-9_]+")

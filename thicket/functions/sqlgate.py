@@ -45,8 +45,18 @@ def bind(text: str, args: list | dict | None) -> None:
         raise ValueError(f"{len(values)} parameters given, {plain.count('?')} asked for")
 
 
+def named(text: str) -> str:
+    """$name, outside quotes and comments, as :name."""
+    out, at = [], 0
+    for m in _QUOTED.finditer(text):
+        out += [re.sub(r"(?<![\w$])\$([A-Za-z_]\w*)", r":\1", text[at : m.start()]), m[0]]
+        at = m.end()
+    return "".join([*out, re.sub(r"(?<![\w$])\$([A-Za-z_]\w*)", r":\1", text[at:])])
+
+
 def run(spark: SparkSession, text: str, args: list | dict | None = None) -> DataFrame:
-    """One read-only statement with named (:name) or positional (?) parameters."""
+    """One read-only statement with named (:name or $name) or positional (?) parameters."""
+    text = named(text)
     if not is_read_only(text):
         raise PermissionError("only reading statements are allowed")
     bind(text, args)
