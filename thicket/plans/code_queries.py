@@ -222,13 +222,14 @@ for _name, (_detector, _sql) in DETECTORS.items():
 DUPLICATE = 0.10
 
 
-def evidence(spark: SparkSession, d: str) -> dict:
+def evidence(spark: SparkSession, d: str, pairs: bool = False) -> dict:
     """What the axes measure besides the graph: symbols with a trace, and near-duplicate pairs of symbols by their vectors."""
     traced = view(spark, d, "traces").where("artifact_type = 'Symbol'").select(F.col("artifact_ref").alias("id")).distinct()
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     owner = lambda c: F.concat(F.lit("P:"), F.col(c) % 200)
-    pairs = retrieval.similar_pairs(vectors, "label", DUPLICATE).select(owner("a").alias("a"), owner("b").alias("b")).where("a <> b")
-    return {"traced": traced, "duplicates": pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().count()}
+    near = retrieval.similar_pairs(vectors, "label", DUPLICATE).select(owner("a").alias("a"), owner("b").alias("b")).where("a <> b")
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return {"traced": traced, "pairs": near} if pairs else {"traced": traced, "duplicates": near.count()}
 
 
 @query("structural_health_index")
