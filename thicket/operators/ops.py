@@ -25,11 +25,22 @@ def telemetry_report(rollup: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank_latency(calls: DataFrame, keys: list[str], percents: list[int]) -> DataFrame:
-    """Nearest-rank percentiles by window ranks, so that no group is collected."""
-    w = Window.partitionBy(*keys)
-    r = calls.where("latency_ms is not null").withColumn("_k", F.row_number().over(w.orderBy("latency_ms"))).withColumn("_n", F.count("*").over(w))
-    return r.groupBy(*keys).agg(*[F.min(F.when(F.col("_k") >= F.ceil(F.col("_n") * p / 100), F.col("latency_ms"))).alias(f"p{p}") for p in percents])
+def nearest_rank_latency(calls: DataFrame, keys: list[str], percents: list[int], ranges: int = 64) -> DataFrame:
+    """Nearest-rank percentiles by cumulative counts of distinct values.
+
+    Rows are counted by value first; a key's values are cut into ranges of equal width, so the running count of a hot key goes over its ranges
+    and then within each range, and no task sorts all rows of a key. Null values take no part.
+    """
+    v = calls.where("latency_ms is not null").groupBy(*keys, "latency_ms").agg(F.count("*").alias("c"))
+    span = v.groupBy(*keys).agg(F.min("latency_ms").alias("lo"), F.max("latency_ms").alias("hi"), F.sum("c").alias("n"))
+    v = v.join(span, keys)
+    b = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(ranges - 1), F.floor((F.col("latency_ms") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges))).otherwise(0)
+    v = v.withColumn("_b", b.cast("int"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    part = v.groupBy(*keys, "_b").agg(F.sum("c").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
+    within = Window.partitionBy(*keys, "_b").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    v = v.join(part, [*keys, "_b"]).withColumn("upto", F.col("before") + F.sum("c").over(within))
+    return v.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p / 100), F.col("latency_ms"))).alias(f"p{p}") for p in percents])
 
 
 def ewma(series: DataFrame, key: str, order: str, value: str, alpha: float = 0.3, k: float = 1.5) -> DataFrame:

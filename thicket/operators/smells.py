@@ -85,23 +85,44 @@ def dead_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.where(~F.coalesce(F.col("path").rlike(TEST_PATH), F.lit(False))).join(_calls(edges, "CALLS", "CALLS_NIF").select(F.col("target").alias("id")), "id", "left_anti").select("id")
 
 
-def exposure(nodes: DataFrame, edges: DataFrame, sinks: DataFrame, depth: int = 10) -> DataFrame:
-    """Pairs of a public callable and a sink it reaches over CALLS within a depth: source, sink.
+def _spread(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """Which seeds reach each node over steps(at, next) within a depth: at, word, bits. seeds: id.
 
-    Frontiers start at the sinks, of which there are few, and go backward; a pair is kept once.
+    Seeds are numbered and held as bits, 64 to a row, so a round joins and aggregates one row for 64 pairs; a round carries only bits that are new to
+    their node.
     """
     from thicket.session import cut
 
-    back = _calls(edges).select(F.col("target").alias("at"), F.col("source").alias("next")).distinct()
-    seen = frontier = cut(sinks.select(F.col("id").alias("sink"), F.col("id").alias("at")).distinct())
+    word = seeds.select("at", F.expr("int(n div 64)").alias("word"), F.expr("shiftleft(1L, int(n % 64))").alias("bits"))
+    seen = frontier = cut(word.groupBy("at", "word").agg(F.bit_or("bits").alias("bits")))
     for _ in range(depth):
-        step = frontier.join(back, "at").select("sink", F.col("next").alias("at")).distinct()
-        frontier = cut(step.join(seen, ["sink", "at"], "left_anti").select("sink", "at"))
+        step = frontier.join(steps, "at").groupBy(F.col("next").alias("at"), "word").agg(F.bit_or("bits").alias("got"))
+        both = cut(seen.join(step, ["at", "word"], "full").select("at", "word", F.coalesce("bits", F.lit(0).cast("long")).alias("old"), F.coalesce("got", F.lit(0).cast("long")).alias("got")))
+        seen = both.select("at", "word", F.col("old").bitwiseOR(F.col("got")).alias("bits"))
+        frontier = both.select("at", "word", F.expr("got & ~old").alias("bits")).where("bits <> 0")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+    return seen
+
+
+def _numbered(ids: DataFrame) -> DataFrame:
+    """id, n: numbers from 0 without gaps per bucket; buckets of hashes keep the numbering parallel."""
+    b = ids.select("id", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int").alias("b"))
+    w = Window.partitionBy("b").orderBy("id")
+    # the number within its bucket times 64 and the bucket: rows of one word then belong to one rank
+    return b.select("id", ((F.row_number().over(w) - 1) * 64 + F.col("b")).cast("long").alias("n"))
+
+
+def exposure(nodes: DataFrame, edges: DataFrame, sinks: DataFrame, depth: int = 10) -> DataFrame:
+    """Pairs of a public callable and a sink it reaches over CALLS within a depth: source, sink. Sets of sinks go backward as bits."""
+    from thicket.session import cut
+
+    back = _calls(edges).select(F.col("target").alias("at"), F.col("source").alias("next")).distinct()
+    numbers = cut(_numbered(sinks.select("id").distinct()))
+    seen = _spread(back, numbers.select(F.col("id").alias("at"), "n"), depth)
     public = nodes.where(is_callable(F.col("kind")) & F.col("is_public")).select(F.col("id").alias("at"))
-    return seen.where("sink <> at").join(public, "at", "left_semi").select(F.col("at").alias("source"), "sink")
+    held = seen.join(public, "at", "left_semi").select(F.col("at").alias("source"), "word", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit(F.col("bits"), k) == 1)).alias("k"))
+    return held.withColumn("n", (F.col("word") * 64 + F.col("k")).cast("long")).join(numbers.withColumnRenamed("id", "sink"), "n").where("source <> sink").select("source", "sink")
 
 
 def unsafe_exposure(nodes: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
@@ -113,18 +134,32 @@ def injection_risk(nodes: DataFrame, edges: DataFrame, depth: int = 10) -> DataF
 
 
 def nif_blocking(nodes: DataFrame, edges: DataFrame, report: int = 5, depth: int = 20) -> DataFrame:
-    """Targets of native calls whose call chains go deeper than report: id, depth."""
+    """Targets of native calls whose call chains go deeper than report: id, depth (the hop at which the last node is first reached).
+
+    The sets of targets that reach each node go forward as bits; the last round in which a bit is new anywhere is its depth.
+    """
     from thicket.session import cut
 
-    e = _calls(edges).select(F.col("source").alias("at"), "target").distinct()
-    seen = frontier = cut(edges.where("rel = 'CALLS_NIF'").select(F.col("target").alias("id")).distinct().select("id", F.col("id").alias("at"), F.lit(0).alias("depth")))
+    e = _calls(edges).select(F.col("source").alias("at"), F.col("target").alias("next")).distinct()
+    numbers = cut(_numbered(edges.where("rel = 'CALLS_NIF'").select(F.col("target").alias("id")).distinct()))
+    word = numbers.select(F.col("id").alias("at"), F.expr("int(n div 64)").alias("word"), F.expr("shiftleft(1L, int(n % 64))").alias("bits"))
+    seen = frontier = cut(word.groupBy("at", "word").agg(F.bit_or("bits").alias("bits")))
+    last = None
     for k in range(1, depth + 1):
-        step = frontier.join(e, "at").select("id", F.col("target").alias("at")).distinct().join(seen.select("id", "at"), ["id", "at"], "left_anti")
-        frontier = cut(step.select("id", "at", F.lit(k).alias("depth")))
+        step = frontier.join(e, "at").groupBy(F.col("next").alias("at"), "word").agg(F.bit_or("bits").alias("got"))
+        both = cut(seen.join(step, ["at", "word"], "full").select("at", "word", F.coalesce("bits", F.lit(0).cast("long")).alias("old"), F.coalesce("got", F.lit(0).cast("long")).alias("got")))
+        seen = both.select("at", "word", F.col("old").bitwiseOR(F.col("got")).alias("bits"))
+        frontier = both.select("at", "word", F.expr("got & ~old").alias("bits")).where("bits <> 0")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen.groupBy("id").agg(F.max("depth").alias("depth")).where(F.col("depth") > report)
+        if k > report:
+            own = frontier.groupBy("word").agg(F.bit_or("bits").alias("bits")).select("word", "bits", F.lit(k).alias("depth"))
+            last = own if last is None else last.unionByName(own)
+    if last is None:
+        return numbers.select("id", F.lit(0).alias("depth")).limit(0)
+    held = last.select("word", "depth", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit(F.col("bits"), k) == 1)).alias("k"))
+    deepest = held.groupBy((F.col("word") * 64 + F.col("k")).cast("long").alias("n")).agg(F.max("depth").alias("depth"))
+    return deepest.join(numbers, "n").select("id", "depth")
 
 
 def security_audit(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
@@ -143,7 +178,7 @@ def technical_debt(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     named = nodes.select("id", word.alias("reason")).where("reason is not null")
     bad = nodes.where(F.col("name").isin("unwrap", "eval")).select(F.col("id").alias("target"), F.col("name").alias("reason"))
     calling = _calls(edges).join(bad, "target").select(F.col("source").alias("id"), F.concat(F.lit("calls "), "reason").alias("reason"))
-    return named.unionByName(calling).distinct().join(files_of(nodes, edges), "id", "left_semi").where(F.col("id").startswith("P:") | F.lit(True))
+    return named.unionByName(calling).distinct().join(files_of(nodes, edges), "id", "left_semi")
 
 
 def telemetry_score(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -52,12 +52,17 @@ def current(spark: SparkSession, table: str) -> DataFrame | None:
     return spark.read.parquet(f"{table}/v{version}")
 
 
-def upsert(spark: SparkSession, table: str, rows: DataFrame, key: list[str], at: str) -> None:
-    """Last writer by `at` wins, on ties the greater row hash. The new version is written whole before the pointer moves, so readers never see half of it."""
+def upsert(spark: SparkSession, table: str, rows: DataFrame, key: list[str], at: str, add: tuple[str, ...] = ()) -> None:
+    """Last writer by `at` wins, on ties the greater row hash; the columns of add are summed over all writers instead.
+
+    The new version is written whole before the pointer is replaced in one rename, so readers see the old or the new one and never none.
+    """
     old = current(spark, table)
     both = rows if old is None else old.unionByName(rows)
     hashed = both.withColumn("_h", F.xxhash64(*[F.col(c) for c in sorted(both.columns)]))
-    best = hashed.groupBy(*key).agg(F.max_by(F.struct(*both.columns), F.struct(F.col(at), F.col("_h"))).alias("r")).select("r.*")
+    sums = [F.sum(c).alias(f"_{c}") for c in add]
+    best = hashed.groupBy(*key).agg(F.max_by(F.struct(*both.columns), F.struct(F.col(at), F.col("_h"))).alias("r"), *sums)
+    best = best.select(*[F.col(f"_{c}").cast(both.schema[c].dataType).alias(c) if c in add else F.col("r")[c].alias(c) for c in both.columns])
     fs, pointer = _fs(spark, f"{table}/CURRENT")
     version = 1 if old is None else json.loads(spark.read.text(f"{table}/CURRENT").first()[0])["version"] + 1
     best.write.mode("overwrite").parquet(f"{table}/v{version}")
@@ -65,6 +70,20 @@ def upsert(spark: SparkSession, table: str, rows: DataFrame, key: list[str], at:
     out = fs.create(tmp, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(tmp, pointer)
+    jvm = spark._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(tmp), fs.makeQualified(pointer), how)
+
+
+def bisect_bad(rows: list, write) -> list:
+    """Write a batch of rows; where it fails, its halves, until single rows that fail are left: those are returned. The rows of one task's batch only."""
+    try:
+        write(rows)
+        return []
+    except Exception:  # noqa: BLE001
+        if len(rows) == 1:
+            return rows
+        half = len(rows) // 2
+        return bisect_bad(rows[:half], write) + bisect_bad(rows[half:], write)

@@ -52,30 +52,42 @@ def debounce_events(events: list[tuple[float, str]], cooldown: float) -> list[tu
     return out
 
 
+def debounce_step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, cooldown_ms: int) -> Iterator[pd.DataFrame]:
+    """One call for a path: its state is what waits (empty for nothing) and when the cooldown ends. A trailing edge begins a new cooldown."""
+    rows: list[tuple[str, str, str]] = []
+    waiting, until = state.get if state.exists else ("", -1)
+    now = state.getCurrentProcessingTimeMs()
+    if state.hasTimedOut:
+        if not waiting:
+            state.remove()
+            yield pd.DataFrame([], columns=["path", "kind", "edge"])
+            return
+        rows.append((key[0], waiting, "trailing"))
+        waiting, until = "", now + cooldown_ms
+    else:
+        for b in batches:
+            for kind in b.sort_values("ts")["kind"]:
+                if now >= until:
+                    if waiting:
+                        rows.append((key[0], waiting, "trailing"))
+                        waiting, until = "delete" if kind == "delete" else kind, now + cooldown_ms
+                        continue
+                    rows.append((key[0], kind, "leading"))
+                    until = now + cooldown_ms
+                else:
+                    waiting = "delete" if "delete" in (kind, waiting) and kind != "create" else kind
+    state.update((waiting, until))
+    state.setTimeoutDuration(max(1, until - now))
+    yield pd.DataFrame(rows, columns=["path", "kind", "edge"])
+
+
 def debounce(changes: DataFrame, cooldown_ms: int = 500) -> DataFrame:
     """The stateful stream: changes(path, kind, ts) to path, kind, edge (leading or trailing)."""
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows: list[tuple[str, str, str]] = []
-        if state.hasTimedOut:
-            (waiting,) = state.get
-            if waiting:
-                rows.append((key[0], waiting, "trailing"))
-            state.remove()
-        else:
-            waiting = state.get[0] if state.exists else None
-            for b in batches:
-                for kind in b.sort_values("ts")["kind"]:
-                    if waiting is None:
-                        rows.append((key[0], kind, "leading"))
-                        waiting = ""
-                    else:
-                        waiting = "delete" if "delete" in (kind, waiting) and kind != "create" else kind
-            state.update((waiting or "",))
-            state.setTimeoutDuration(cooldown_ms)
-        yield pd.DataFrame(rows, columns=["path", "kind", "edge"])
-
-    return changes.groupBy("path").applyInPandasWithState(step, "path string, kind string, edge string", "waiting string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        return debounce_step(key, batches, state, cooldown_ms)
+
+    return changes.groupBy("path").applyInPandasWithState(step, "path string, kind string, edge string", "waiting string, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def upsert_stream(stream: DataFrame, table: str, key: list[str], at: str, checkpoint: str, once: bool = True) -> StreamingQuery:
