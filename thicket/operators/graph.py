@@ -169,15 +169,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
         return nodes.select("id", F.lit(0.0).alias("rank")).limit(0)
     e = edges.select(F.col("source").alias("id"), "target").join(nodes.select("id"), "id", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
     out = e.groupBy("id").agg(F.count("*").alias("out"))
-    e = e.groupBy("id", "target").agg(F.count("*").alias("w")).join(out, "id").select("id", "target", (F.col("w") / F.col("out")).alias("share")).persist()
-    base = nodes.select("id").join(out.select("id", F.lit(True).alias("linked")), "id", "left").select("id", F.col("linked").isNull().alias("dangling")).persist()
-    rank = base.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
+    # edges and nodes are partitioned by id once; a round moves only ranks
+    e = e.groupBy("id", "target").agg(F.count("*").alias("w")).join(out, "id").select("id", "target", (F.col("w") / F.col("out")).alias("share")).repartition("id").persist()
+    base = nodes.select("id").join(out.select("id", F.lit(True).alias("linked")), "id", "left").select("id", F.col("linked").isNull().alias("dangling")).repartition("id").persist()
+    rank = cut(base.select("id", "dangling", F.lit(1.0 / n).alias("rank")))
     for _ in range(iterations):
-        # one number a round; the cut keeps each round from being computed again for it
-        lost = rank.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
+        # the mass without out-edges is one broadcast row of the same job
+        lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = rank.select("id", "rank").join(e, "id").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        step = base.join(got, "id", "left").select("id", "dangling", (F.lit((1 - damping + damping * lost) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        rank = cut(step)
+        step = base.join(got, "id", "left").crossJoin(F.broadcast(lost))
+        rank = cut(step.select("id", "dangling", ((F.lit(1 - damping) + damping * F.col("lost")) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+    e.unpersist()
+    base.unpersist()
     return rank.select("id", "rank")
 
 
