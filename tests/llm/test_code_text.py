@@ -139,6 +139,13 @@ def test_layout_kinds():
     assert layout.kind_by_layout("md", "1 2 3 4 5 6 7 8 9\n" * 50) is None and layout.kind_by_layout("py", "") is None
 
 
+def test_layout_reads_the_whole_header_and_letters():
+    licence = "".join(f"// line {i} of a licence\n" for i in range(400))
+    assert layout.has_header(licence + "// Code generated by xgen. DO NOT EDIT.\npackage a\n") and not layout.has_header(licence + "package a\n// do not edit\n")
+    assert layout.has_header("/*\n a licence\n of lines\n*/\n// @generated\nx\n") and not layout.has_header("/* a\n b */\nx\n// @generated\n")
+    assert layout.kind_by_layout("py", "x = 1\n" + "q9Zk" * 300 + "\n") == "blob"
+
+
 def test_classify(spark):
     lib = " ".join(f"word{i} = call{i % 9}" for i in range(80))
     files = spark.createDataFrame([("a/vendor/x.py", "P", 1), ("a/b.py", "P", 1), ("a/b.py", "Q", 2), ("c/copy.py", "P", None), ("d/own.py", "P", 1), ("e.min.js", "P", 1), ("package-lock.json", "P", 1), ("src/vendor_x/y.py", "P", 1), (None, "P", 1)], "path string, project_code string, last_seen_ms long")

@@ -18,6 +18,15 @@ def test_cut_points_round_trip(text, limit, overlap):
     assert "".join([text[a + (overlap if i else 0) : b] for i, (a, b) in enumerate(pieces)]) == text
 
 
+def test_last_piece_and_line_ends():
+    for n in range(1540, 4000, 61):
+        pieces = split.cut_points("ab cd. " * (n // 7), 1536, 192)
+        assert all(b - a - (192 if i else 0) >= (1536 - 192) // 3 for i, (a, b) in enumerate(pieces)) or len(pieces) == 1
+    codes = np.frombuffer("a\r\n\r\nb".encode("utf-32-le"), dtype=np.uint32)
+    at, worth = split.boundaries(codes)
+    assert dict(zip(at.tolist(), worth.tolist()))[5] == split.PARAGRAPH
+
+
 def test_edit_changes_neighbours_only():
     r = np.random.default_rng(3)
     text = " ".join("".join(r.choice(list("abcdefgh"), r.integers(1, 9))) for _ in range(9000))
@@ -131,6 +140,22 @@ def test_shortage_goes_to_siblings_first():
     assert got == {("a", "en"): 100, ("b", "en"): 400, ("c", "en"): 500}
 
 
+def test_feasible_total_meets_every_share():
+    leaves = [("a", "en", 100), ("b", "en", 1000), ("b", "fr", 500), ("c", "en", 5000)]
+    targets = {"a": (0.2, 2), "b": (0.3, 1), "c": (0.4, 1), "none": (0.1, 3)}
+    assert mix.feasible_total(leaves, targets) == 1000 and mix.feasible_total([], targets) == 0
+    got = mix.plan(leaves, targets, None, {"a": "x", "b": "x", "c": "y"})
+    used = {s: sum(v for (x, _), v in got.items() if x == s) for s in "abc"}
+    assert sum(used.values()) == 1000 and used["a"] == 200 and used["b"] >= 300 and used["c"] >= 400
+
+
+def test_language_lies_above_source():
+    """A shortage goes to other sources of the same domain and language before other languages."""
+    leaves = [("a", "en", 50), ("b", "en", 1000), ("b", "fr", 1000), ("c", "fr", 1000)]
+    got = mix.plan(leaves, {"a": (0.4, 1), "b": (0.3, 1), "c": (0.3, 1)}, 1000, {"a": "x", "b": "x", "c": "x"})
+    assert got[("a", "en")] == 50 and got[("b", "en")] == 500 and got[("b", "fr")] == 150 and got[("c", "fr")] == 300
+
+
 def test_mix_frame(spark):
     docs = [(i, "a" if i % 3 else "b", ["en", "EN ", None, "fr"][i % 4], 10 + i % 7) for i in range(300)] + [(900, "unlisted", "en", 5), (901, "a", "en", 0), (902, None, "en", 5)]
     sized = spark.createDataFrame(docs, "doc_id long, source string, lang string, tokens int")

@@ -44,13 +44,14 @@ WORDS, SIMILAR, LEAST_SHINGLES = 5, 0.8, 12
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds of a language: a minified file has long lines and little space, a blob many literals or runs."""
+    """Thresholds of a language: a minified file has long lines and little space, a blob many literals or runs, or long lines of hardly anything but letters and digits."""
 
     mean_line: float = 160
     longest: int = 250
     space: float = 0.10
     numeric: float = 0.29
     runs: float = 0.50
+    alnum: float = 0.88
 
 
 LIMITS = {
@@ -81,15 +82,21 @@ _KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 2
 
 
 def has_header(text: str) -> bool:
-    """A generator's note in the comments at the very top."""
-    for line in text[:4000].split("\n")[:30]:
+    """A generator's note in the comments at the very top, however long they are; blank lines do not end them."""
+    at, block = 0, False
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line, at = text[at:end], end + 1
         if not line.strip():
             continue
         m = COMMENT.match(line)
-        if not m:
+        if not m and not block:
             return False
-        if HEADER.match(m[1]):
+        if HEADER.match(m[1] if m else line.strip()):
             return True
+        opened = line.rfind("/*")
+        block = line.find("*/", max(0, opened)) < 0 if block or opened >= 0 else False
     return False
 
 
@@ -97,15 +104,13 @@ def kind_by_layout(extension: str, text: str) -> str | None:
     """minified, blob, generated or none, by the content alone; only for languages of code."""
     if extension not in CODE or not text:
         return None
-    if has_header(text):
-        return "generated"
     limit = LIMITS.get(extension, Limits())
-    longest, mean, space, _, numeric, runs = measure(text)
-    if numeric >= limit.numeric or runs >= limit.runs:
+    longest, mean, space, alnum, numeric, runs = measure(text)
+    if numeric >= limit.numeric or runs >= limit.runs or (alnum >= limit.alnum and space <= limit.space and longest >= limit.longest):
         return "blob"
     if longest >= limit.longest and mean >= limit.mean_line and space <= limit.space:
         return "minified"
-    return None
+    return "generated" if has_header(text) else None
 
 
 def shingles(text: str) -> set[tuple[str, ...]]:
@@ -186,4 +191,4 @@ def classify(files: DataFrame, contents: DataFrame, upstream: DataFrame) -> Data
         F.max_by("project_code", F.struct(F.coalesce("last_seen_ms", F.lit(-1)), F.coalesce("project_code", F.lit("")))).alias("project_code")
     )
     both = paths.join(content_kinds(contents, upstream), "path", "left")
-    return both.select("path", "project_code", F.coalesce(kind_by_path(F.col("path")), F.col("content_kind")).alias("kind"))
+    return both.select("path", "project_code", F.coalesce(F.col("content_kind"), kind_by_path(F.col("path"))).alias("kind"))

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
-The targets form a tree domain - source - language: a source carries its target share, its languages share
-its budget by their tokens, a domain has the sum of its sources. A leaf holds at most max_repeats times
+The targets form a tree domain - language - source: each source spreads its target share over its languages by their
+tokens, a language of a domain has the sum of its sources there, a domain the sum of its languages. A leaf holds at most max_repeats times
 its tokens. What a leaf cannot hold goes to its siblings first, then to the siblings of its parent, up
 to the root, in proportion to their targets. Each leaf then yields a prefix of its token stream: whole
 epochs, each in an order seeded by (seed, epoch), and a part of the last one, whose last document is cut
@@ -59,14 +59,26 @@ def pour(node: Node, amount: float) -> None:
         pour(c, c.budget)
 
 
+def feasible_total(leaves: list[tuple[str, str, int]], targets: dict[str, tuple[float, int]]) -> int:
+    """The most tokens of a mixture in which no source with documents falls short of its share within its repeats; 0 without any.
+
+    A listed source without documents cannot be met by any total: its share goes to others and sets no limit.
+    """
+    have: dict[str, int] = {}
+    for s, _, n in leaves:
+        have[s] = have.get(s, 0) + n
+    limits = [have[s] * max(r, 0) / share for s, (share, r) in targets.items() if share > 0 and have.get(s, 0) > 0]
+    return math.floor(min(limits)) if limits else 0
+
+
 def plan(leaves: list[tuple[str, str, int]], targets: dict[str, tuple[float, int]], total: int | None, domains: dict[str, str]) -> dict[tuple[str, str], int]:
     """Token budget of each (source, language). leaves: source, language, tokens; targets: source -> share, repeats.
 
-    total None: as many tokens as the listed sources have once over.
+    total None: the largest at which every listed source that has documents reaches its share.
     """
     known = [(s, g, n) for s, g, n in leaves if s in targets and n > 0]
     if total is None:
-        total = sum(n for *_, n in known)
+        total = feasible_total(leaves, targets)
     root = Node(("all",))
     by: dict[tuple, Node] = {}
     size: dict[str, int] = {}
@@ -75,24 +87,24 @@ def plan(leaves: list[tuple[str, str, int]], targets: dict[str, tuple[float, int
     for s, g, n in sorted(known):
         share, repeats = targets[s]
         d = domains.get(s, "other")
-        for path, parent in (((d,), root), ((d, s), (d,)), ((d, s, g), (d, s))):
+        for path, parent in (((d,), root), ((d, g), (d,)), ((d, g, s), (d, g))):
             if path not in by:
                 by[path] = Node(path)
                 (parent if isinstance(parent, Node) else by[parent]).children.append(by[path])
         room, weight = n * max(repeats, 0), share * n / size[s]
-        for path in ((d,), (d, s), (d, s, g)):
+        for path in ((d,), (d, g), (d, g, s)):
             by[path].room += room
             by[path].weight += weight
         root.room += room
         root.weight += weight
     pour(root, float(total))
-    budgets = {(p[1], p[2]): c.budget for p, c in by.items() if len(p) == 3}
+    budgets = {(p[2], p[1]): c.budget for p, c in by.items() if len(p) == 3}
     whole = {k: math.floor(v + 1e-6) for k, v in budgets.items()}
     # the largest remainders take what rounding left, within each leaf's room
     left = math.floor(min(float(total), root.room) + 1e-6) - sum(whole.values())
     for k in sorted(budgets, key=lambda k: (whole[k] - budgets[k], k))[: max(0, left)]:
         d = domains.get(k[0], "other")
-        if whole[k] + 1 <= by[d, k[0], k[1]].room:
+        if whole[k] + 1 <= by[d, k[1], k[0]].room:
             whole[k] += 1
     return whole
 
@@ -111,7 +123,7 @@ def mix(
     a small table that comes to the driver; the highest share counts where one is repeated, null means 0).
     Mixture: doc_id, source, lang, epoch (from 1), tokens_used; a document of no tokens, and one of a source that is not
     listed or null, takes no part. Report: source, target_share, actual_share, available_tokens, used_tokens,
-    max_repeats, repeats; one row per target, also without documents. Running sums go over hashed buckets of a
+    max_repeats, repeats, feasible_total (the most tokens at which all shares can be met, and the total by default); one row per target, also without documents. Running sums go over hashed buckets of a
     leaf, never over a whole leaf in one task.
     """
     spark = sized.sparkSession
@@ -123,7 +135,8 @@ def mix(
     docs = docs.where(F.col("source").isin(list(want)) & (F.col("n") > 0) & F.col("doc_id").isNotNull())
     # one row for each source and language
     sums = docs.groupBy("source", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
-    budgets = plan([(r["source"], r["lang"], r["n"]) for r in sums], want, total, domains or DOMAINS)
+    leaves = [(r["source"], r["lang"], r["n"]) for r in sums]
+    budgets, feasible = plan(leaves, want, total, domains or DOMAINS), feasible_total(leaves, want)
     rows = [
         (r["source"], r["lang"], budgets.get((r["source"], r["lang"]), 0), r["n"], max(1, math.ceil(r["rows"] / bucket_rows)))
         for r in sums
@@ -155,10 +168,10 @@ def mix(
         used[s], have[s] = used.get(s, 0) + b, have.get(s, 0) + n
     everything = sum(used.values()) or 1
     report = [
-        (s, share, used.get(s, 0) / everything, have.get(s, 0), used.get(s, 0), repeats, used.get(s, 0) / have[s] if have.get(s) else 0.0)
+        (s, share, used.get(s, 0) / everything, have.get(s, 0), used.get(s, 0), repeats, used.get(s, 0) / have[s] if have.get(s) else 0.0, feasible)
         for s, (share, repeats) in sorted(want.items())
     ]
     shares = spark.createDataFrame(
-        report, "source string, target_share double, actual_share double, available_tokens long, used_tokens long, max_repeats int, repeats double"
+        report, "source string, target_share double, actual_share double, available_tokens long, used_tokens long, max_repeats int, repeats double, feasible_total long"
     )
     return whole.unionByName(prefix), shares

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Documents of one group, packed by one task; the groups are independent, each by a hash of the key.
-GROUP_ROWS = 40_000
+GROUP_ROWS = 20_000
 PACKED = "purpose string, container string, position int, doc_key string, piece int, first_token long, tokens int"
 
 
@@ -142,7 +142,8 @@ def pack_documents(
     def run(key: tuple, table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(fill(key, iter(table.to_batches()))))
 
-    return grouped.groupBy("g").applyInArrow(run, PACKED)
+    # a number of partitions that is asked for is not coalesced: groups stay spread over tasks
+    return grouped.repartition(2 * groups, "g").groupBy("g").applyInArrow(run, PACKED)
 
 
 def utilisation(packed: DataFrame, capacities: dict[str, int]) -> DataFrame:

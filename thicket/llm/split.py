@@ -57,6 +57,7 @@ def boundaries(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after[1:][space[1:] & stop[:-1]] = SENTENCE
     after[nl] = LINE
     after[1:][nl[1:] & nl[:-1]] = PARAGRAPH
+    after[2:][nl[2:] & (codes[1:-1] == 13) & nl[:-2]] = PARAGRAPH  # a blank line of CR LF
     at = np.flatnonzero(worth >= 0)
     return at, worth[at]
 
@@ -76,7 +77,7 @@ def cut_points(text: str, limit_chars: int, overlap_chars: int) -> list[tuple[in
     pieces, start, begun = [], 0, 0
     while n - begun > limit_chars:
         # begun: where the piece begins with its overlap; start: where its new text begins
-        low, high = start + least, begun + limit_chars
+        low, high = start + least, min(begun + limit_chars, n - least)  # the last piece has its minimum too
         i = np.searchsorted(marks, low)
         aim = int(marks[i]) if i < len(marks) and marks[i] <= high else high
         a, b = np.searchsorted(at, low), np.searchsorted(at, high, side="right")
