@@ -245,16 +245,42 @@ def symbols_in_files(nodes: DataFrame, edges: DataFrame, pattern: str) -> DataFr
     return files_of(nodes, edges).where(F.col("path").like(like)).select("id", "path")
 
 
+def bare_name(c: str) -> Column:
+    """The last part of an id."""
+    return F.element_at(F.split(F.col(c), "::"), -1)
+
+
+def phantom_calls(edges: DataFrame) -> DataFrame:
+    """Distinct calls whose target no file contains: source, target. They stand for calls whose receiver is only known when they run."""
+    held = edges.where("rel = 'CONTAINS'").select("target").distinct()
+    return _calls(edges, "CALLS", "CALLS_NIF").select("source", "target").distinct().join(held, "target", "left_anti").select("source", "target")
+
+
+def in_trait_files(edges: DataFrame) -> DataFrame:
+    """Symbols of a file that also contains one which implements something: id."""
+    f = edges.where("rel = 'CONTAINS'").select("source", "target").distinct()
+    traits = f.join(edges.where("rel = 'IMPLEMENTS'").select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source").distinct()
+    return f.join(traits, "source", "left_semi").select(F.col("target").alias("id")).distinct()
+
+
 def wiring_orphans(nodes: DataFrame, edges: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """Public callables outside tests that production code never calls: id, state (test_only before isolated), test_callers."""
+    """Public callables outside tests that production code never calls: id, state (test_only before isolated), test_callers.
+
+    One that nobody calls by itself, in a file with an implementation, also has the callers of phantoms of its bare name.
+    """
     own = nodes.where(is_callable(F.col("kind")) & F.col("is_public") & ~F.col("tested") & ~F.col("is_entry_point") & ~F.col("name").isin("main", "run_main"))
     if declared is not None:
         own = own.join(declared, "id", "left_anti")
     own = own.join(files_of(nodes, edges), "id", "left").where(~F.coalesce(F.col("path").rlike(TEST_PATH), F.lit(False)))
-    c = _calls(edges, "CALLS", "CALLS_NIF").select("source", "target").distinct().join(nodes.select(F.col("id").alias("source"), "tested"), "source")
-    fan = c.groupBy(F.col("target").alias("id")).agg(F.count_if(~F.col("tested")).alias("prod"), F.count_if("tested").alias("test_callers"))
-    hit = own.join(fan, "id", "left").where(F.coalesce("prod", F.lit(0)) == 0)
-    n = F.coalesce("test_callers", F.lit(0))
+    from_node = nodes.select(F.col("id").alias("source"), "tested")
+    count = (F.count_if(~F.col("tested")), F.count_if("tested"))
+    c = _calls(edges, "CALLS", "CALLS_NIF").select("source", "target").distinct().join(from_node, "source")
+    fan = c.groupBy(F.col("target").alias("id")).agg(count[0].alias("prod"), count[1].alias("test_callers"))
+    hit = own.join(fan, "id", "left").where(F.coalesce("prod", F.lit(0)) == 0).withColumn("bare", bare_name("id"))
+    lost = phantom_calls(edges).join(from_node, "source").groupBy(bare_name("target").alias("bare")).agg(count[0].alias("phantom_prod"), count[1].alias("phantom_tests"))
+    named = hit.select("id", "bare").join(lost, "bare").join(in_trait_files(edges), "id", "left_semi").drop("bare")
+    hit = hit.join(named, "id", "left").where(F.coalesce("phantom_prod", F.lit(0)) == 0)
+    n = F.coalesce("test_callers", F.lit(0)) + F.coalesce("phantom_tests", F.lit(0))
     return hit.select("id", F.when(n > 0, "test_only").otherwise("isolated").alias("state"), n.alias("test_callers"))
 
 
@@ -285,10 +311,18 @@ def invariants(nodes: DataFrame, edges: DataFrame, rules: list[dict]) -> DataFra
 
 
 def dead_clusters(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clusters of candidates no root reaches, over calls and the contract bridge; and roots, reached, wiring coverage (0 when empty)."""
-    walk = graph.with_contract_bridge(edges.where(F.col("rel").isin("CALLS", "CALLS_NIF", "IMPLEMENTS"))).where(F.col("rel") != "x")
-    forward = walk.where(F.col("rel").isin("CALLS", "CALLS_NIF")).unionByName(walk.where("rel = 'IMPLEMENTS'").join(edges.where("rel = 'IMPLEMENTS'").select(F.col("source").alias("target"), F.col("target").alias("source")), ["source", "target"], "left_semi"))
-    got = graph.reach(forward, roots, None, keep_seeds=True).select("id")
+    """Clusters of candidates no root reaches; and roots, candidates, reached, wiring coverage (0 when empty).
+
+    Ways go over calls, from a contract to its implementors (the first BRIDGE_FANOUT of each), and from a reached phantom to the candidates of its bare
+    name in files with an implementation.
+    """
+    calls = _calls(edges, "CALLS", "CALLS_NIF").select("source", "target", "rel")
+    implements = edges.where("rel = 'IMPLEMENTS'")
+    bridge = graph.with_contract_bridge(implements).join(implements.select("source", "target"), ["source", "target"], "left_anti").select("source", "target", "rel")
+    lost = phantom_calls(edges).select("target", bare_name("target").alias("bare")).distinct()
+    named = candidates.select("id", bare_name("id").alias("bare")).join(in_trait_files(edges), "id", "left_semi")
+    by_name = lost.join(named, "bare").select(F.col("target").alias("source"), F.col("id").alias("target"), F.lit("NAME").alias("rel"))
+    got = graph.reach(calls.unionByName(bridge).unionByName(by_name), roots, None, keep_seeds=True).select("id")
     dead = candidates.select("id").join(got, "id", "left_anti")
     total, reached = candidates.count(), candidates.select("id").join(got, "id", "left_semi").count()
     summary = candidates.sparkSession.createDataFrame([(roots.count(), total, reached, reached / total if total else 0.0)], "roots long, candidates long, reached long, wiring_coverage double")

@@ -13,6 +13,8 @@ from thicket.session import table
 START, END = "P:10", "P:77"
 WITH = prelude("nodes", "edges")
 REC = prelude("nodes", "edges", recursive=True)
+#: Weak components: label the least id, by a recursion over keyed rows.
+COMPONENTS = ", u AS (SELECT DISTINCT source AS a, target AS b FROM {e} WHERE source <> target UNION SELECT DISTINCT target, source FROM {e} WHERE source <> target), cc(id, component) USING KEY (id) AS (SELECT id, id FROM {n} UNION (SELECT u.b, min(cc.component) FROM cc JOIN u ON u.a = cc.id JOIN recurring.cc r ON r.id = u.b WHERE cc.component < r.component GROUP BY u.b))"
 FILES = ", f AS (SELECT target AS id, min(source) AS file_id FROM edges WHERE rel = 'CONTAINS' GROUP BY target), p AS (SELECT f.id, f.file_id, n.name AS path FROM f LEFT JOIN nodes n ON n.id = f.file_id) "
 TEST = r"coalesce(regexp_matches(p.path, '(^|/)(tests?|scripts)/|_test\.|\.test\.|_spec\.|\.spec\.'), false)"
 
@@ -62,7 +64,7 @@ def shortest_path_length(spark: SparkSession, d: str) -> DataFrame:
     return path.groupBy().agg(F.count("*").cast("int").alias("hops")).where("hops > 0")
 
 
-@query("shortest_path")
+@query("shortest_path", REC + f", walk(id, d) AS (SELECT '{START}', 0 UNION SELECT e.target, d + 1 FROM walk JOIN edges e ON e.source = walk.id WHERE d < 10), hit AS (SELECT id, min(d) AS d FROM walk GROUP BY id), p AS (SELECT h.id, h.d, min({{'r': e.rel, 's': e.source}}) AS m FROM hit h JOIN edges e ON e.target = h.id JOIN hit g ON g.id = e.source AND g.d = h.d - 1 GROUP BY h.id, h.d), way(id, d, rel) AS (SELECT '{END}', (SELECT d FROM hit WHERE id = '{END}'), NULL::VARCHAR WHERE '{END}' IN (SELECT id FROM hit) UNION ALL SELECT p.m.s, p.d - 1, p.m.r FROM way JOIN p ON p.id = way.id) SELECT d AS hop, id AS node_id, rel AS relation_type FROM way")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return graph.shortest_path(both(spark, d)[1], START, END)
 
@@ -99,12 +101,12 @@ def strong_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.strong_components(graph.of_relations(both(spark, d)[1], graph.CYCLE_RELATIONS))
 
 
-@query("circular_dependencies")
+@query("circular_dependencies", REC + ", t AS (SELECT DISTINCT source, target FROM edges WHERE rel IN ('CALLS', 'CALLS_NIF', 'IMPORTS', 'IMPLEMENTS', 'USES', 'READS') AND source <> target), c(a, b) AS (SELECT source, target FROM t UNION SELECT c.a, t.target FROM c JOIN t ON t.source = c.b), s AS (SELECT x.a AS id, max(x.b) AS component FROM c x JOIN c y ON y.a = x.b AND y.b = x.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1) SELECT component, count(*) AS size, min(id) AS least_member FROM s GROUP BY component")
 def circular_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return smells.circular_dependencies(both(spark, d)[1])
 
 
-@query("components")
+@query("components", REC + COMPONENTS.format(n="nodes", e="edges") + " SELECT id, component FROM cc")
 def components(spark: SparkSession, d: str) -> DataFrame:
     n, e = both(spark, d)
     return graph.components(n, e)
@@ -131,7 +133,7 @@ def coverage_propagation(spark: SparkSession, d: str) -> DataFrame:
     return graph.covered(*both(spark, d))
 
 
-@query("uncovered_clusters")
+@query("uncovered_clusters", REC + ", w(id) AS (SELECT id FROM nodes WHERE tested UNION SELECT e.target FROM w JOIN edges e ON e.source = w.id WHERE e.rel IN ('CALLS', 'CALLS_NIF')), x AS (SELECT id FROM nodes WHERE kind <> 'file' AND id NOT IN (SELECT id FROM w)), y AS (SELECT * FROM edges WHERE source IN (SELECT id FROM x) AND target IN (SELECT id FROM x))" + COMPONENTS.format(n="x", e="y") + " SELECT component AS cluster, count(*) AS size FROM cc GROUP BY component HAVING count(*) > 1")
 def uncovered_clusters(spark: SparkSession, d: str) -> DataFrame:
     n, e = both(spark, d)
     return graph.clusters(n.where("kind <> 'file'").join(graph.covered(n, e), "id", "left_anti"), e)
@@ -186,6 +188,16 @@ def triangle_matches(spark: SparkSession, d: str) -> DataFrame:
     return graph.subgraph_matches([("a", "b"), ("b", "c"), ("a", "c")], both(spark, d)[1])
 
 
+#: Calls of a seventh of the symbols go to phantoms of their bare names.
+PHANTOM = ", ph AS (SELECT DISTINCT source, CASE WHEN rel IN ('CALLS', 'CALLS_NIF') AND target IN (SELECT id FROM nodes WHERE complexity % 7 = 0) THEN concat('X::', target) ELSE target END AS target, rel FROM edges), lost AS (SELECT DISTINCT source, target, string_split(target, '::')[-1] AS bare FROM ph WHERE rel IN ('CALLS', 'CALLS_NIF') AND target NOT IN (SELECT target FROM ph WHERE rel = 'CONTAINS')), tf AS (SELECT DISTINCT target AS id FROM ph WHERE rel = 'CONTAINS' AND source IN (SELECT f.source FROM ph f JOIN ph i ON i.source = f.target WHERE f.rel = 'CONTAINS' AND i.rel = 'IMPLEMENTS'))"
+
+
+def phantoms(n: DataFrame, e: DataFrame) -> DataFrame:
+    lost = n.where("complexity % 7 = 0").select(F.col("id").alias("target"), F.lit(True).alias("lost"))
+    t = F.when(F.col("lost") & F.col("rel").isin("CALLS", "CALLS_NIF"), F.concat(F.lit("X::"), "target")).otherwise(F.col("target"))
+    return e.join(lost, "target", "left").select("source", t.alias("target"), "rel").distinct()
+
+
 DETECTORS = {
     "wrappers": (smells.wrappers, WITH + FILES + f", o AS (SELECT source, min(target) AS target FROM edges WHERE rel = 'CALLS' GROUP BY source HAVING count(*) = 1), k AS (SELECT target, count(*) AS c FROM edges WHERE rel = 'CALLS' GROUP BY target) SELECT n.id, n.name AS src, t.name AS tgt, coalesce(k.c, 0) AS callers FROM nodes n LEFT JOIN p ON p.id = n.id JOIN o ON o.source = n.id JOIN nodes t ON t.id = o.target LEFT JOIN k ON k.target = o.target WHERE n.kind IN ('function', 'method') AND NOT n.is_public AND NOT {TEST}"),
     "feature_envy": (smells.feature_envy, WITH + FILES + ", c AS (SELECT e.source, tf.file_id AS tf, tf.file_id IS DISTINCT FROM sf.file_id AS away FROM edges e JOIN f tf ON tf.id = e.target LEFT JOIN f sf ON sf.id = e.source WHERE e.rel = 'CALLS' AND e.source IN (SELECT id FROM nodes WHERE kind IN ('function', 'method'))), g AS (SELECT source, tf, count(*) AS n, bool_or(away) AS away FROM c GROUP BY source, tf), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY away DESC, n DESC, tf DESC) AS k FROM g) SELECT source AS id, sum(n)::BIGINT AS total, sum(CASE WHEN away THEN n ELSE 0 END)::BIGINT AS \"foreign\", max(CASE WHEN k = 1 AND away THEN tf END) AS dominant FROM r GROUP BY source HAVING sum(n) >= 3 AND sum(CASE WHEN away THEN n ELSE 0 END) >= 2 AND sum(CASE WHEN away THEN n ELSE 0 END) > sum(n) - sum(CASE WHEN away THEN n ELSE 0 END)"),
@@ -211,8 +223,9 @@ DETECTORS = {
     "bidi_trace": (lambda n, e: graph.reach(e, n.where(F.col("id") == START), 24).select(F.lit("forward").alias("direction"), "id", "distance").unionByName(graph.reach(graph.reversed_edges(e), n.where(F.col("id") == START), 24).select(F.lit("backward").alias("direction"), "id", "distance")), REC + walk_sql(START, 24) + ", back(id, d) AS (SELECT '" + START + "', 0 UNION SELECT e.source, d + 1 FROM back JOIN edges e ON e.target = back.id WHERE d < 24) SELECT 'forward' AS direction, id, d AS distance FROM hit WHERE d > 0 UNION ALL SELECT 'backward', id, min(d) FROM back WHERE d > 0 AND id <> '" + START + "' GROUP BY id"),
     "degrees": (lambda n, e: graph.degrees(e), WITH + "SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree FROM (SELECT source AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target, 1, 0 FROM edges) x GROUP BY id"),
     "structural_invariants": (lambda n, e: smells.invariants(n, e, [{"id": "no-nif-from-interface", "mode": "forbidden", "source": {"kind": "interface"}, "relations": ["CALLS_NIF"]}, {"id": "class-calls", "mode": "required", "source": {"kind": "class"}, "relations": ["CALLS"]}]), WITH + "SELECT 'no-nif-from-interface' AS rule, e.source, e.target FROM edges e JOIN nodes n ON n.id = e.source JOIN nodes t ON t.id = e.target WHERE n.kind = 'interface' AND e.rel = 'CALLS_NIF' UNION ALL SELECT 'class-calls', id, NULL FROM nodes WHERE kind = 'class' AND id NOT IN (SELECT e.source FROM edges e JOIN nodes t ON t.id = e.target WHERE e.rel = 'CALLS')"),
-    "abstraction_detours": (smells.abstraction_detours, None),
-    "dead_clusters": (lambda n, e: smells.dead_clusters(n, e, n.where(F.col("kind").isin("function", "method")), n.where("is_entry_point or tested"))[0], None),
+    "abstraction_detours": (smells.abstraction_detours, WITH + FILES + ", h AS (SELECT i.id AS interface, c.id AS implementation FROM nodes i JOIN p a ON a.id = i.id JOIN p b ON b.file_id = a.file_id JOIN nodes c ON c.id = b.id WHERE i.kind = 'interface' AND c.kind IN ('class', 'struct', 'module') AND (lower(c.name) = lower(i.name) || 'impl' OR lower(c.name) = lower(i.name) || '_impl' OR (starts_with(lower(c.name), lower(i.name)) AND contains(lower(c.name), 'adapter')))) SELECT interface, min(implementation) AS implementation FROM h GROUP BY interface HAVING count(*) = 1"),
+    "dead_clusters": (lambda n, e: smells.dead_clusters(n, phantoms(n, e), n.where(F.col("kind").isin("function", "method")), n.where("is_entry_point"))[0], REC + PHANTOM + ", bridge AS (SELECT target AS source, source AS target FROM (SELECT DISTINCT source, target, dense_rank() OVER (PARTITION BY target ORDER BY source) AS k FROM ph WHERE rel = 'IMPLEMENTS') q WHERE k <= 32 AND NOT EXISTS (SELECT 1 FROM ph z WHERE z.rel = 'IMPLEMENTS' AND z.source = q.target AND z.target = q.source)), fw AS (SELECT source, target FROM ph WHERE rel IN ('CALLS', 'CALLS_NIF') UNION SELECT source, target FROM bridge UNION SELECT l.target, n.id FROM lost l JOIN nodes n ON n.id = l.bare JOIN tf ON tf.id = n.id WHERE n.kind IN ('function', 'method')), w(id) AS (SELECT id FROM nodes WHERE is_entry_point UNION SELECT fw.target FROM w JOIN fw ON fw.source = w.id), x AS (SELECT id FROM nodes WHERE kind IN ('function', 'method') AND id NOT IN (SELECT id FROM w)), y AS (SELECT * FROM ph WHERE source IN (SELECT id FROM x) AND target IN (SELECT id FROM x))" + COMPONENTS.format(n="x", e="y") + " SELECT component AS cluster, count(*) AS size FROM cc GROUP BY component HAVING count(*) > 1"),
+    "wiring_orphans_dispatch": (lambda n, e: smells.wiring_orphans(n, phantoms(n, e)), WITH + PHANTOM + ", p AS (SELECT f.id, f.file_id, n.name AS path FROM (SELECT target AS id, min(source) AS file_id FROM ph WHERE rel = 'CONTAINS' GROUP BY target) f LEFT JOIN nodes n ON n.id = f.file_id)" + f", c AS (SELECT e.target AS id, sum(CASE WHEN n.tested THEN 0 ELSE 1 END) AS prod, sum(CASE WHEN n.tested THEN 1 ELSE 0 END) AS tests FROM (SELECT DISTINCT source, target FROM ph WHERE rel IN ('CALLS', 'CALLS_NIF')) e JOIN nodes n ON n.id = e.source GROUP BY e.target), lc AS (SELECT bare, sum(CASE WHEN n.tested THEN 0 ELSE 1 END) AS prod, sum(CASE WHEN n.tested THEN 1 ELSE 0 END) AS tests FROM lost l JOIN nodes n ON n.id = l.source GROUP BY bare), o AS (SELECT n.id, coalesce(c.tests, 0) + CASE WHEN tf.id IS NULL THEN 0 ELSE coalesce(lc.tests, 0) END AS tests, CASE WHEN tf.id IS NULL THEN 0 ELSE coalesce(lc.prod, 0) END AS prod FROM nodes n LEFT JOIN p ON p.id = n.id LEFT JOIN c ON c.id = n.id LEFT JOIN lc ON lc.bare = n.id LEFT JOIN tf ON tf.id = n.id WHERE n.kind IN ('function', 'method') AND n.is_public AND NOT n.tested AND NOT n.is_entry_point AND n.name NOT IN ('main', 'run_main') AND NOT {TEST} AND coalesce(c.prod, 0) = 0) SELECT id, CASE WHEN tests > 0 THEN 'test_only' ELSE 'isolated' END AS state, tests::BIGINT AS test_callers FROM o WHERE prod = 0"),
 }
 for _name, (_detector, _sql) in DETECTORS.items():
     query(_name, _sql)(lambda spark, d, f=_detector: f(*both(spark, d)))

@@ -82,7 +82,7 @@ def debt_terms_in_chunks(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "chunk_view").where(F.col("content").rlike(pattern)).select("id", F.regexp_extract("content", pattern, 1).alias("word"))
 
 
-@query("impact_rows_named")
+@query("impact_rows_named", prelude("nodes", "edges", recursive=True) + ", walk(id, d) AS (SELECT 'P:10', 0 UNION SELECT e.source, d + 1 FROM walk JOIN edges e ON e.target = walk.id WHERE d < 5), hit AS (SELECT id, min(d) AS d FROM walk GROUP BY id) SELECT h.id, n.name, h.d AS distance, min(e.rel) AS rel FROM hit h JOIN edges e ON e.source = h.id JOIN hit g ON g.id = e.target AND g.d = h.d - 1 JOIN nodes n ON n.id = h.id GROUP BY 1, 2, 3")
 def impact_rows_named(spark: SparkSession, d: str) -> DataFrame:
     hit = graph.reach(graph.reversed_edges(view(spark, d, "edges")), spark.createDataFrame([("P:10",)], "id string"), 5)
     return hit.join(view(spark, d, "nodes").select("id", "name"), "id").select("id", "name", "distance", "rel")
