@@ -26,6 +26,12 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.find_secrets(table(spark, d, "chunks"), copy=True)
 
 
+def p1_form(spark: SparkSession, d: str) -> DataFrame:
+    """What masking must not change, by project-free totals: rows, rows with content, characters and lines of the masked copies."""
+    lines = F.length("redacted") - F.length(F.replace("redacted", F.lit("\n"), F.lit("")))
+    return p1_redacted(spark, d).agg(F.count("*").alias("rows"), F.count("redacted").alias("texts"), F.sum(F.length("redacted")).alias("chars"), F.sum(lines).alias("line_ends"))
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk in pieces within chunk_window, renumbered and recounted; a repeated id is kept once."""
     limit, overlap = limits(spark, d)["chunk_window"]
@@ -35,6 +41,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of a chunk without their overlaps joined again: id, hash of the text, and whether each piece is within the limit. A chunk's pieces are few rows."""
+    limit, overlap = limits(spark, d)["chunk_window"]
+    fresh = F.when(F.col("chunk_part_index") > 1, F.substr("content", F.lit(overlap * split.CHARS_PER_TOKEN + 1))).otherwise(F.col("content"))
+    joined = p2_pieces(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_part_index", fresh.alias("t")))).alias("x"), F.max("token_count").alias("most"))
+    return joined.select("id", F.sha2(F.array_join(F.transform("x", lambda p: p["t"]), ""), 256).alias("hash"), (F.col("most") <= limit).alias("within"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The chunks that the splitter had to cut."""
     limit, overlap = limits(spark, d)["chunk_window"]
@@ -157,14 +171,22 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_files": p3_files, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+        "p1_found": p1_found, "p1_redacted": p1_redacted, "p1_form": p1_form, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_round_trip": p2_round_trip, "p3_files": p3_files, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
         "p5_found": p5_found, "p5_kinds": p5_kinds, "p5_remaining": p5_remaining,
         "p6_packed": p6_packed, "p6_utilisation": p6_utilisation, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores,
     }
 
 
+#: A valid vector in SQL: 64 elements, all finite, not all zero.
+VALID = "len({0}) = 64 AND len(list_filter({0}, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter({0}, lambda x: x <> 0)) > 0"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        # all pairs of each collection, which suits the small tables the text runs on
+        "p4_found": "WITH g AS (SELECT 'symbols' AS collection, id, min(embedding) AS e FROM symbols WHERE id IS NOT NULL AND " + VALID.format("embedding") + " GROUP BY id UNION ALL SELECT model_id, chunk_id, embedding FROM (SELECT *, row_number() OVER (PARTITION BY model_id, chunk_id ORDER BY coalesce(embedded_at_ms, -1) DESC, embedding DESC NULLS LAST) AS k FROM bulk_chunk_embedding_stage) q WHERE k = 1 AND model_id IS NOT NULL AND chunk_id IS NOT NULL AND " + VALID.format("embedding") + "), v AS (SELECT collection, id, list_transform(e::DOUBLE[], lambda x: x / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]))) AS u FROM g), s AS (SELECT a.collection, a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS s FROM v a JOIN v b ON a.collection = b.collection AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY collection, a ORDER BY s DESC, b) AS k FROM s) SELECT DISTINCT collection, least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= 10 AND s >= 0.9",
+        "p1_form": "SELECT count(*) AS rows, count(content) AS texts, sum(length(content))::BIGINT AS chars, sum(length(content) - length(replace(content, chr(10), '')))::BIGINT AS line_ends FROM chunks",
+        "p2_round_trip": "SELECT id, sha256(max(content)) AS hash, true AS within FROM chunks WHERE content IS NOT NULL GROUP BY id",
         "p2_found": "SELECT DISTINCT id FROM chunks WHERE ceil(length(content) / 3.0) > (SELECT limit_tokens FROM size_limits WHERE purpose = 'chunk_window')",
     }
