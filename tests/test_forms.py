@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thicket.functions import fts, sqlgate, tables
-from thicket.operators import context, governance, ops, relational, smells
+from thicket.operators import context, governance, graph, ops, relational, smells
 from thicket.sources import ingest, publication
 from thicket.streaming import flows
 
@@ -167,6 +167,14 @@ def test_exposure_bits_over_a_word(spark):
     assert smells.unsafe_exposure(nodes.limit(0), edges.limit(0)).count() == 0
 
 
+def test_patterns_must_be_connected_and_bridges_are_cut(spark):
+    e = spark.createDataFrame([(f"i{k:02d}", "t", "IMPLEMENTS") for k in range(40)] + [("a", "b", "CALLS")], "source string, target string, rel string")
+    with pytest.raises(ValueError, match="connected"):
+        graph.subgraph_matches([("a", "b"), ("c", "d")], e)
+    got = graph.with_contract_bridge(e).where("source = 't'").select("target").collect()
+    assert sorted(r[0] for r in got) == [f"i{k:02d}" for k in range(32)]
+
+
 def test_governance_edges(spark):
     assert governance.diff_paths("--- a/x\n+++ /dev/null\n+++ b/y\n+++ b/y\n--- /dev/null\n") == ["x", "y"]
     chunks = spark.createDataFrame([("s", "symbol", "r/x.py"), (None, "symbol", "r/x.py"), ("t", "file", "r/x.py"), ("u", "symbol", None)], "source_id string, source_type string, file_path string")

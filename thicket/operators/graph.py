@@ -111,8 +111,14 @@ def neighbours(edges: DataFrame, start: str, radius: int, most: int, rels: Itera
 def with_contract_bridge(edges: DataFrame, fanout: int = BRIDGE_FANOUT) -> DataFrame:
     """Edges and, for at most fanout implementors of each trait by id, IMPLEMENTS against its direction."""
     back = of_relations(edges, ["IMPLEMENTS"]).select(F.col("target").alias("source"), F.col("source").alias("target"), "rel").distinct()
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("target"))
-    return edges.select("source", "target", "rel").unionByName(back.withColumn("k", rank).where(F.col("k") <= fanout).drop("k"))
+    return edges.select("source", "target", "rel").unionByName(at_most(back, "source", "target", fanout))
+
+
+def at_most(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """The first rows of each key by value, ranked in buckets of a hash first, so that no task sorts all rows of a hot key."""
+    b = df.withColumn("_b", F.pmod(F.xxhash64(value), F.lit(32)))
+    b = b.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_b").orderBy(value))).where(F.col("_k") <= most)
+    return b.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(value))).where(F.col("_k") <= most).drop("_b", "_k")
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, depth: int = 10, rels: Iterable[str] | None = None) -> DataFrame:
@@ -440,7 +446,9 @@ def subgraph_matches(pattern: list[tuple[str, str]], edges: DataFrame, most: int
         a, b = next(((x, y) for x, y in left if not bound or x in bound or y in bound), left[0])
         left.remove((a, b))
         step = e.select(F.col("source").alias(a), F.col("target").alias(b)) if a != b else e.where("source = target").select(F.col("source").alias(a))
-        found = step if found is None else found.join(step, sorted(bound & {a, b})) if bound & {a, b} else found.crossJoin(step)
+        if found is not None and not bound & {a, b}:
+            raise ValueError("the pattern must be connected: its parts would be crossed")
+        found = step if found is None else found.join(step, sorted(bound & {a, b}))
         names = found.columns
         for i, x in enumerate(names):
             for y in names[i + 1 :]:
