@@ -9,12 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.operators import graph
+
 
 def scoped(nodes: DataFrame, project: str) -> DataFrame:
     return nodes if project in ("", "*") else nodes.where(F.col("project_code") == project)
 
 
+def with_sample(rows: DataFrame, values: DataFrame, n: int, name: str) -> DataFrame:
+    """rows by id with the first n distinct values (id, n) of each as one text; the values are ranked and cut before any list is made."""
+    first = graph.at_most(values.select("id", "n").where("n is not null").distinct(), "id", "n", n)
+    text = first.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("n")), ",").alias(name))
+    return rows.join(text, "id", "left").na.fill("", [name])
+
+
 def sample(c: Column, n: int) -> Column:
+    """The first n distinct values of a column of few, such as relations."""
     return F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, n), ",")
 
 
@@ -31,7 +41,8 @@ def _degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def calls_hotspots_with_file(nodes: DataFrame, edges: DataFrame, top: int = 200) -> DataFrame:
-    c = edges.where("relation_type = 'CALLS'").groupBy(F.col("from_id").alias("id")).agg(F.countDistinct("to_id").alias("callees"), sample(F.col("to_id"), 20).alias("callee_sample"))
+    called = edges.where("relation_type = 'CALLS'").select(F.col("from_id").alias("id"), F.col("to_id").alias("n"))
+    c = with_sample(called.groupBy("id").agg(F.countDistinct("n").alias("callees")), called, 20, "callee_sample")
     f = edges.where("relation_type = 'CONTAINS'").groupBy(F.col("to_id").alias("id")).agg(F.min("from_id").alias("file_id"))
     return c.join(nodes.where("label = 'Symbol'").select("id", "project_code"), "id").join(f, "id", "left").orderBy(F.desc("callees"), "id").limit(top)
 
@@ -113,7 +124,8 @@ def soll_decision_impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     d = nodes.where("label = 'Decision'").select("id")
     one = d.join(edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("n")), "id")
     two = one.join(edges.select(F.col("from_id").alias("n"), F.col("to_id").alias("m")), "n").select("id", F.col("m").alias("n"))
-    return one.unionByName(two).groupBy("id").agg(F.countDistinct("n").alias("reached"), sample(F.col("n"), 20).alias("reached_sample"))
+    both = one.unionByName(two).select("id", "n")
+    return with_sample(both.groupBy("id").agg(F.countDistinct("n").alias("reached")), both, 20, "reached_sample")
 
 
 def _linked(edges: DataFrame, rel: str, name: str) -> DataFrame:
@@ -150,7 +162,7 @@ def trace_target_context(nodes: DataFrame, edges: DataFrame, target: str) -> Dat
     u = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionAll(edges.select("to_id", "from_id"))
     one = m.select("id").join(u.withColumnRenamed("a", "id"), "id").select("id", F.col("b").alias("n")).distinct()
     two = one.join(u.select(F.col("a").alias("n"), F.col("b").alias("m")), "n").where("m <> id").select("id", F.col("m").alias("n")).distinct()
-    g = lambda d, x: d.groupBy("id").agg(F.count("*").alias(x), sample(F.col("n"), 10).alias(x + "_sample"))
+    g = lambda d, x: with_sample(d.groupBy("id").agg(F.count("*").alias(x)), d, 10, x + "_sample")
     return m.join(g(one, "one_hop"), "id", "left").join(g(two, "two_hop"), "id", "left").na.fill(0, ["one_hop", "two_hop"])
 
 
@@ -165,8 +177,8 @@ def unresolved_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def why_unresolved_endpoint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     u = nodes.where("label = 'UnresolvedEndpoint'").select("id")
-    i = edges.groupBy(F.col("to_id").alias("id")).agg(sample(F.col("relation_type"), 10).alias("in_relations"), sample(F.col("from_id"), 5).alias("in_sample"))
-    o = edges.groupBy(F.col("from_id").alias("id")).agg(sample(F.col("relation_type"), 10).alias("out_relations"), sample(F.col("to_id"), 5).alias("out_sample"))
+    side = lambda a, b, x: with_sample(edges.groupBy(F.col(a).alias("id")).agg(sample(F.col("relation_type"), 10).alias(x + "_relations")), edges.select(F.col(a).alias("id"), F.col(b).alias("n")), 5, x + "_sample")
+    i, o = side("to_id", "from_id", "in"), side("from_id", "to_id", "out")
     return u.join(i, "id", "left").join(o, "id", "left")
 
 
