@@ -94,6 +94,14 @@ def test_brackets_at_least_cost():
         assert cost(text) == brute(text), text
 
 
+def test_many_brackets_are_matched_at_least_cost_too():
+    # the nearest partner takes two edits for each group, deleting the parenthesis takes one
+    for n in (100, 300, 700):
+        m = syntax.match_brackets(list("[(]" * n), *syntax._BRACKETS)
+        assert m == {3 * i + 2: 3 * i for i in range(n)}
+        assert len(syntax.analyse("js", "x = [(1];\n" * n)) == n
+
+
 def test_brackets_have_their_own_contents():
     assert syntax.analyse("json", '{"a"}') and syntax.analyse("json", "{1, 2}") and syntax.analyse("json", '["k": 1]') and not syntax.analyse("json", '[{}, {"k": [1]}]')
     assert syntax.analyse("java", "class A { int f(int x) { return x } }") and syntax.analyse("js", "f(a; b);") and not syntax.analyse("js", "for (let i = 0; i < 3; i++) { f(i); }")
