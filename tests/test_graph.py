@@ -89,3 +89,28 @@ def test_phantoms(spark):
     e = spark.createDataFrame([("P::a::f", "x::f", "CALLS"), ("P::a::f", "x::g", "CALLS"), ("P::a::f", "x::h", "CALLS_NIF"), ("P::b::g", "P::a::f", "CALLS")], "source string, target string, rel string")
     got = {(r["source"], r["target"], r["resolved"]) for r in graph.resolve_phantoms(nodes, e).collect()}
     assert got == {("P::a::f", "P::a::f", True), ("P::a::f", "x::g", False), ("P::a::f", "P::d::h", True), ("P::b::g", "P::a::f", True)}
+
+
+def test_call_depths_of_many_components(spark, monkeypatch):
+    from thicket.operators import smells
+
+    monkeypatch.setattr(smells, "SEEDS", 3)
+    monkeypatch.setattr(smells, "STEP_BYTES", 8)
+    # 40 chains of 9 calls with a native call to each of their nodes, a ring of 30, and a call to nobody
+    rows = [(f"c{k}-{i}", f"c{k}-{i + 1}", "CALLS") for k in range(40) for i in range(9)] + [("x", f"c{k}-{i}", "CALLS_NIF") for k in range(40) for i in range(10)]
+    rows += [(f"r{i}", f"r{(i + 1) % 30}", "CALLS") for i in range(30)] + [("x", "r4", "CALLS_NIF"), ("x", "none", "CALLS_NIF"), ("c0-9", None, "CALLS"), (None, "c0-0", "CALLS")]
+    got = {r["id"]: r["depth"] for r in smells.nif_blocking(None, spark.createDataFrame(rows, "source string, target string, rel string")).collect()}
+    want = {f"c{k}-{i}": 9 - i + (k == 0) for k in range(40) for i in range(4 + (k == 0))} | {"r4": 20}
+    assert got == want
+    assert max(got.values()) == 20 and smells.nif_blocking(None, spark.createDataFrame(rows[:1], "source string, target string, rel string")).isEmpty()
+
+
+def test_sets_of_seeds_are_not_shuffled(spark, monkeypatch):
+    # a join of the seeds with the calls would hold every pair of a seed and a node it reaches
+    from thicket.operators import smells
+
+    rows = [("x", f"s{i}", "CALLS_NIF") for i in range(200)] + [(f"s{i}", "m0", "CALLS") for i in range(200)] + [(f"m{i}", f"m{i + 1}", "CALLS") for i in range(6)]
+    sizes, cut = [], smells.cut
+    monkeypatch.setattr(smells, "cut", lambda df: (sizes.append(df.count()), cut(df))[1])
+    got = smells.nif_blocking(None, spark.createDataFrame(rows, "source string, target string, rel string")).collect()
+    assert len(got) == 200 and {r["depth"] for r in got} == {7} and sizes == [206]
