@@ -27,3 +27,14 @@ def test_the_query_measures_both(spark, tmp_path):
     spark.createDataFrame([(7, 3, 5, 1, "F", "N"), (7, 4, 6, 1, "O", "N"), (7, 1, 9, 1, "F", "N")], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_linestatus string, l_returnflag string").write.parquet(f"{d}/lineitem.parquet")
     got = code_queries.evidence(spark, d)
     assert got["duplicates"] == 1 and [r["id"] for r in got["traced"].collect()] == ["P:5"]
+
+
+def test_the_work_list_searches_once(spark, small, monkeypatch):
+    n, e = small
+    seen = []
+    for name in ("strong_components", "cut_points", "covered"):
+        f = getattr(health.graph, name)
+        monkeypatch.setattr(health.graph, name, lambda *a, _n=name, _f=f: (seen.append(_n), _f(*a))[1])
+    rows = health.worklist(n, e, duplicates=0).collect()
+    assert sorted(seen) == ["covered", "cut_points", "strong_components"]
+    assert ("articulation", "P:1") in {(r["kind"], r["id"]) for r in rows}
