@@ -38,3 +38,11 @@ def test_the_work_list_searches_once(spark, small, monkeypatch):
     rows = health.worklist(n, e, duplicates=0).collect()
     assert sorted(seen) == ["covered", "cut_points", "strong_components"]
     assert ("articulation", "P:1") in {(r["kind"], r["id"]) for r in rows}
+
+
+def test_the_audit_reads_the_graph_once(spark, small, monkeypatch):
+    n, e = small
+    made = []
+    monkeypatch.setattr(health, "cut", lambda df: (made.append(df), df)[1])
+    row = health.audit(n, e).first()
+    assert len(made) == 2 and row["cycles"] == row["nif"] == 0
