@@ -5,6 +5,10 @@ Ranks end in an id, so that ties have one order; nulls count as absent; empty in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -288,11 +292,25 @@ def neighbourhood_clones(nodes: DataFrame, edges: DataFrame, most_distance: floa
     from thicket.operators.retrieval import similar_pairs
 
     kinds = nodes.select("id", "kind")
-    out = edges.join(kinds.withColumnRenamed("id", "target"), "target").select(F.col("source").alias("id"), F.concat(F.lit(">"), "rel", F.lit(":"), "kind").alias("f"))
-    back = edges.join(kinds.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), F.concat(F.lit("<"), "rel", F.lit(":"), "kind").alias("f"))
-    counts = out.unionByName(back).groupBy("id", "f").agg(F.count("*").cast("double").alias("n"))
-    # as many features as relations times kinds times two
-    features = [r["f"] for r in counts.select("f").distinct().orderBy("f").collect()]
-    vector = F.array(*[F.coalesce(F.max(F.when(F.col("f") == x, F.col("n"))), F.lit(0.0)) for x in features])
-    v = counts.groupBy("id").agg(vector.alias("embedding"), F.sum("n").alias("edges")).where(F.col("edges") >= least_edges).join(kinds, "id")
+    # as many features as relations times kinds times two; a row of null has no feature and counts as an edge
+    rels, names = ([r[0] for r in df.distinct().orderBy(df.columns[0]).collect()] for df in (edges.where("rel is not null").select("rel"), nodes.where("kind is not null").select("kind")))
+    code = lambda c, of: F.coalesce(*[F.when(F.col(c) == x, F.lit(k)) for k, x in enumerate(of)], F.lit(None).cast("int"))
+    feature = code("rel", rels) * len(names) + code("kind", names)
+    out = edges.join(kinds.withColumnRenamed("id", "target"), "target").select(F.col("source").alias("id"), feature.alias("f"))
+    back = edges.join(kinds.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), (feature + len(rels) * len(names)).alias("f"))
+    counts = out.unionByName(back).groupBy("id", "f").agg(F.count("*").alias("n"))
+    width = 2 * len(rels) * len(names)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, n = batch.column(2), batch.column(3)
+            v, row = np.zeros((len(batch), width)), np.repeat(np.arange(len(batch)), np.diff(f.offsets.to_numpy()))
+            known = f.flatten().is_valid().to_numpy(zero_copy_only=False)
+            v[row[known], f.flatten().drop_null().to_numpy()] = n.flatten().to_numpy()[known]
+            e = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), e], names=["id", "kind", "embedding"])
+
+    v = counts.groupBy("id").agg(F.collect_list(F.struct("f", "n")).alias("x"), F.sum("n").alias("edges")).where(F.col("edges") >= least_edges).join(kinds, "id")
+    of = nodes.schema["id"].dataType.simpleString()
+    v = v.select("id", "kind", "x.f", "x.n").mapInArrow(spell, f"id {of}, kind string, embedding array<double>")
     return similar_pairs(v, "kind", most_distance)
