@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import itertools
 import math
 import random
 import re
@@ -154,7 +155,58 @@ class Kind:
 
 #: What the tokens before say: kind of the last name, tokens since, open quote, within a key block, call, verb, within the user part of a URL.
 State = tuple[str, int, str, bool, str, str, int]
-START: State = ("", 9, "", False, "", "", 0)
+START: State = ("", 6, "", False, "", "", 0)
+
+
+def _step(state: State, kind: Kind, called: str) -> State:
+    """The state after a token; called: what a bracket here calls. No more than the first six tokens since a name are told apart."""
+    key, since, quote, pem, call, verb, scheme_user = state
+    c, t = kind.c, kind.sign
+    if c == "_":
+        return (key, min(6, since + 3), quote, pem, call, verb, scheme_user) if t == "\n" else state
+    if c == "pembp":
+        pem = True
+    elif c.startswith("peme"):
+        pem = False
+    kk = kind.key
+    if kk:
+        key, since = (kk, 0) if not (quote and kk == "o" and since < 2) else (key, since + 1)
+    else:
+        since += 1
+    if kind.verb:
+        verb = kind.verb
+    if t in _QUOTES:
+        quote = "" if quote == t else (quote or t)
+        scheme_user = 0
+    elif t == "(":
+        call = called
+    elif t == ")":
+        call = ""
+    elif t == "://":
+        scheme_user = 1
+    elif t == "@":
+        scheme_user = 0
+    elif t in (",", ";", "&"):
+        if t == ";":
+            verb = ""
+        if not quote:
+            key, since = ("", 9) if since > 1 else (key, since)
+        elif t != "," and since > 1:
+            key, since = "", 9
+    return (key, min(6, since), quote, pem, call, verb, scheme_user)
+
+
+def ahead_of(kinds: list[Kind] | tuple[Kind, ...]) -> list[bool] | None:
+    """For each token whether an @ is ahead within the same literal, as after the password part of a URL; None without any @."""
+    signs = [k.sign for k in kinds]
+    if "@" not in signs:
+        return None
+    out, ahead = [False] * len(signs), False
+    for i in range(len(signs) - 1, -1, -1):
+        if t := signs[i]:
+            ahead = t == "@" or (ahead and t not in _URL_ENDS)
+        out[i] = ahead
+    return out
 
 
 def _groups(kinds: list[Kind], state: State = START, until: int = -1) -> tuple[list[tuple], State]:
@@ -162,60 +214,24 @@ def _groups(kinds: list[Kind], state: State = START, until: int = -1) -> tuple[l
     solid = [k for k in kinds if k.c != "_"]
     near = ["#", "#", "#", *(k.c for k in solid), "#", "#", "#", "#"]
     lean = ["", "", *(k.lean for k in solid), ""]
-    ahead_at = [False] * (len(kinds) + 1)
-    # an @ ahead within the same literal: the password part of a URL
-    for i in range(len(kinds) - 1, -1, -1):
-        t = kinds[i].sign
-        ahead_at[i] = ahead_at[i + 1] if not t else True if t == "@" else False if t in _URL_ENDS else ahead_at[i + 1]
+    ahead_at = ahead_of(kinds) or [False] * len(kinds)
     out = []
-    key, since, quote, pem, call, verb, scheme_user = state
     k, after = -1, state
     for i, kind in enumerate(kinds):
         if i == until:
-            after = (key, since, quote, pem, call, verb, scheme_user)
+            after = state
+        key, since, quote, pem, call, verb, scheme_user = state
         c, t = kind.c, kind.sign
         if c == "_":
             out.append((("_", t == "\n", pem),))
-            if t == "\n":
-                since += 3
+            state = _step(state, kind, "f")
             continue
         k += 1
         out.append((
             kind, ("s", c, quote, key, since if since < 6 else 6, call, verb, scheme_user, ahead_at[i], pem),
             ("l", c, near[k], near[k + 1], near[k + 2], lean[k], lean[k + 1], key), ("r", c, near[k + 4], near[k + 5], near[k + 6], near[k + 7], lean[k + 3], key),
         ))
-        # the state for what follows
-        if c == "pembp":
-            pem = True
-        elif c.startswith("peme"):
-            pem = False
-        kk = kind.key
-        if kk:
-            key, since = (kk, 0) if not (quote and kk == "o" and since < 2) else (key, since + 1)
-        else:
-            since += 1
-        if kind.verb:
-            verb = kind.verb
-        if not t:
-            continue
-        if t in _QUOTES:
-            quote = "" if quote == t else (quote or t)
-            scheme_user = 0
-        elif t == "(":
-            call = solid[k - 1].call if k else "f"
-        elif t == ")":
-            call = ""
-        elif t == "://":
-            scheme_user = 1
-        elif t == "@":
-            scheme_user = 0
-        elif t in (",", ";", "&"):
-            if t == ";":
-                verb = ""
-            if not quote:
-                key, since = ("", 9) if since > 1 else (key, since)
-            elif t != "," and since > 1:
-                key, since = "", 9
+        state = _step(state, kind, solid[k - 1].call if k else "f")
     return out, after
 
 
@@ -276,6 +292,16 @@ class Crf:
         return paths
 
 
+class Place:
+    """A state and the solid tokens before it: what follows each kind of token from here, with the sums of its features but those of what comes after."""
+
+    __slots__ = ("called", "key", "left", "next", "state")
+
+    def __init__(self, state: State, called: str = "f", left: tuple[str, ...] = ("#", "#", "#", "", "")):
+        self.state, self.called, self.left, self.key = state, called, left, state[0]
+        self.next: dict[Kind, list] = {}
+
+
 class Tagger:
     """Labels of many lines: exact, but each text, each sequence of kinds and each group of features is worked out once while remembered."""
 
@@ -285,6 +311,8 @@ class Tagger:
         self.alike: dict[tuple, Kind] = {}
         self.rows: dict[tuple | Kind, int] = {}
         self.sums = np.zeros((1 << 12, 3))
+        self.used = 1  # row 0 is nothing
+        self.places: dict[tuple, Place] = {}
         self.paths: dict[tuple[State, tuple[Kind, ...]], bytes] = {}
         self.texts: dict[str, list[tuple[int, int]]] = {}
         self.size = 0
@@ -297,39 +325,84 @@ class Tagger:
             k = self.kinds[t] = self.alike.setdefault((own, k.c, k.sign, k.key, k.lean, k.call, k.verb), k)
         return k
 
-    def _row(self, group: tuple | Kind) -> int:
-        n = len(self.rows)
+    def _new(self, sum_: np.ndarray) -> int:
+        n = self.used
         if n == len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.sums[n] = self.crf.emit[features_of(group)].sum(0, dtype=float)
-        self.rows[group] = n
+        self.sums[n] = sum_
+        self.used += 1
+        return n
+
+    def _row(self, group: tuple | Kind) -> int:
+        n = self.rows.get(group)
+        if n is None:
+            n = self.rows[group] = self._new(self.crf.emit[features_of(group)].sum(0, dtype=float))
         return n
 
+    def _place(self, *at) -> Place:
+        p = self.places.get(at)
+        if p is None:
+            p = self.places[at] = Place(*at)
+        return p
+
+    def _hop(self, place: Place, kind: Kind, ahead: bool) -> int:
+        """The row of a token at a place; the place after it is kept with it."""
+        hop = place.next.get(kind)
+        key, since, quote, pem, call, verb, scheme_user = state = place.state
+        c = kind.c
+        if c == "_":
+            hop = place.next[kind] = [self._place(_step(state, kind, "f"), place.called, place.left), self._row(("_", kind.sign == "\n", pem)), 0]
+            return hop[1]
+        if hop is None:
+            _, n2, n1, _, l1 = place.left
+            hop = place.next[kind] = [self._place(_step(state, kind, place.called), kind.call, (n2, n1, c, l1, kind.lean)), 0, 0]
+        s = ("s", c, quote, key, since, call, verb, scheme_user, ahead, pem)
+        own, here, before = (self._row(g) for g in (kind, s, ("l", c, *place.left, key)))
+        hop[1 + ahead] = self._new(self.sums[own] + self.sums[here] + self.sums[before])
+        return hop[1 + ahead]
+
+    def _rows_of(self, state: State, kinds: tuple[Kind, ...], before: list[int], after: list[int]) -> None:
+        """Adds the row of each token up to it, and of each solid one the row of what comes after, as _groups has them."""
+        keys, place, row, hold = [], self._place(state), before.append, self._hop
+        ahead = ahead_of(kinds)
+        for i, kind in enumerate(kinds):
+            at = ahead is not None and ahead[i] and kind.c != "_"
+            hop = place.next.get(kind)
+            row((hop and hop[1 + at]) or hold(place, kind, at))
+            if kind.c != "_":
+                keys.append(place.key)
+            place = hop[0] if hop else place.next[kind][0]
+        solid = [k for k in kinds if k.c != "_"]
+        c = [k.c for k in solid] + ["#", "#", "#", "#"]
+        lean = [k.lean for k in solid[1:]] + [""]
+        get = self.rows.get
+        after += [get(g) or self._row(g) for g in zip(itertools.repeat("r"), c, c[1:], c[2:], c[3:], c[4:], lean, keys)]
+
     def label(self, sequences: list[tuple[State, tuple[Kind, ...]]]) -> None:
         """The best paths of sequences that begin in a state, into paths; an empty one is all outside."""
         new = sorted((s for s in set(sequences) if s not in self.paths), key=lambda s: len(s[1]))
         self.size += 9 * sum(len(s[1]) for s in new)
-        rows, get = [], self.rows.get
         for lo in range(0, len(new), 512):
             part = new[lo : lo + 512]
-            rows, tokens = [], []
+            before, after = [], []
             for s in part:
-                for groups in _groups(s[1], s[0])[0]:
-                    tokens.append(len(rows))
-                    rows += [self._row(g) if (r := get(g)) is None else r for g in groups]
-            flat = np.add.reduceat(self.sums[rows], tokens, axis=0)
+                self._rows_of(*s, before, after)
+            flat = self.sums[before]
+            flat[[k.c != "_" for s in part for k in s[1]]] += self.sums[after]
             lengths = np.array([len(s[1]) for s in part])
             score = np.zeros((len(part), int(lengths.max()), 3))
             at = np.repeat(np.arange(len(part)), lengths)
             score[at, np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
             for s, p in zip(part, _viterbi(score, lengths, self.crf.move), strict=True):
-                self.paths[s] = p.tobytes() if p.any() else b""
+                p = p.tobytes()
+                self.paths[s] = p if p.strip(b"\0") else b""
 
     def forget(self) -> None:
         """What is remembered is bounded, whatever the input."""
-        for held, most in ((self.kinds, 200_000), (self.rows, 400_000)):
-            if len(held) > most:
-                held.clear()
+        if len(self.kinds) > 200_000:
+            self.kinds.clear()
+        if self.used > 600_000 or len(self.places) > 200_000:
+            self._forget_rows()
         if self.size > 100_000_000 or len(self.texts) > 300_000:
             self.texts.clear()
             self.paths.clear()
@@ -338,6 +411,12 @@ class Tagger:
             self.alike.clear()
             self.kinds.clear()
             self.paths.clear()
+            self._forget_rows()
+
+    def _forget_rows(self) -> None:
+        self.rows.clear()
+        self.places.clear()
+        self.used = 1
 
 
 def _flat(sequences: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
