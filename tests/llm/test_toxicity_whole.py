@@ -22,3 +22,22 @@ def test_figures_are_of_all_documents(spark):
     assert n.sum() == 160 and (np.diff(u) < 0).all()
     every = {round(max(model.sentence(s) for s in b) / GRID) for b in split}
     assert {round(x / GRID) for x in u} <= every
+
+
+def test_single_documents_do_not_move_the_cut():
+    # 70 documents are far above the rest; four of the held ones lie low among the 18 that come next, then there is nothing but ordinary ones
+    unseen = np.concatenate([np.linspace(3, 15, 70), np.linspace(-1.5, -0.5, 18), np.linspace(-9, -5, 2400)])
+    unseen = np.sort(unseen)[::-1]
+    held = np.concatenate([np.linspace(2.9, 14, 50), [-1.4, -1.42, -1.45, -1.48], np.linspace(-12, -8, 18)])
+    number = np.arange(1, len(unseen) + 1)
+    assert 65 <= number[toxicity._best_cut(toxicity._recall(held, unseen), number)] <= 80
+
+
+def test_sentences_of_documents_labelled_clean_by_mistake_are_no_evidence():
+    class Finds:
+        def sentence(self, words):
+            return 5.0 if "moron" in words else -5.0
+
+    known = [[["you", "are", "a", "moron"], ["the", "cache", "is", "full"]], [["nothing", "here"]]]
+    assert toxicity.confirmed(known, [Finds(), Finds()]) == [[["the", "cache", "is", "full"]], [["nothing", "here"]]]
+    assert toxicity.confirmed(known, []) == known
